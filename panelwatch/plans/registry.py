@@ -2,7 +2,7 @@
 
 Each entry states its output columns once, e.g. ``"county:s date:d rain:f6"``;
 the same casts and roundings are applied to the DataFrame and to the SQL text:
-``s`` text, ``d`` day as text, ``t`` timestamp as microseconds, ``fN`` double
+``s`` text, ``d`` day as text, ``t`` timestamp as text, ``fN`` double
 rounded to N places, ``l`` long, ``i`` int, ``b`` boolean, ``a`` array of text
 joined by ``|``.
 """
@@ -60,7 +60,7 @@ def _spark(name: str, kind: str) -> Column:
     if kind.startswith("f"):
         return half_up(col.cast("double"), int(kind[1:])).alias(name)
     casts = {
-        "s": lambda c: c.cast("string"), "d": lambda c: c.cast("date").cast("string"), "t": F.unix_micros,
+        "s": lambda c: c.cast("string"), "d": lambda c: c.cast("date").cast("string"), "t": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"),
         "l": lambda c: c.cast("long"), "i": lambda c: c.cast("int"), "b": lambda c: c.cast("boolean"),
         "a": lambda c: F.array_join(c, "|"),
     }
@@ -72,7 +72,7 @@ def _sql(name: str, kind: str) -> str:
     if kind.startswith("f"):
         return f"{r(col, int(kind[1:]))} AS \"{name}\""
     casts = {
-        "s": "CAST({c} AS VARCHAR)", "d": "CAST(CAST({c} AS DATE) AS VARCHAR)", "t": "epoch_us({c})",
+        "s": "CAST({c} AS VARCHAR)", "d": "CAST(CAST({c} AS DATE) AS VARCHAR)", "t": "strftime({c}, '%Y-%m-%d %H:%M:%S.%f')",
         "l": "CAST({c} AS BIGINT)", "i": "CAST({c} AS INTEGER)", "b": "CAST({c} AS BOOLEAN)",
         "a": "array_to_string({c}, '|')",
     }

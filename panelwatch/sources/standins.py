@@ -101,7 +101,7 @@ class Standins:
 
     def cases(self) -> DataFrame:
         """Orders are counted per customer and year before the join."""
-        orders = self.table("orders").filter(F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp")).groupBy(
+        orders = self.table("orders").filter(F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp_ntz")).groupBy(
             F.col("o_custkey").alias("c_custkey"), F.year("o_orderdate").alias("year")
         ).agg(F.count(F.lit(1)).alias("n"))
         customers = self.table("customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
@@ -185,13 +185,14 @@ class Standins:
         )).alias("n_nationkey"))
         return steps.join(n, "n_nationkey").select("src", F.col("n_name").alias("dst"))
 
-    def reports_raw(self) -> DataFrame:
+    def reports_raw(self, events: DataFrame | None = None) -> DataFrame:
         names = F.array(*[F.lit(r[0]) for r in C.COUNTY_META])
         u = F.col("user_id")
-        return self.table("events").filter(F.col("event_type") == "error").select(
+        events = self.table("events") if events is None else events
+        return events.filter(F.col("event_type") == "error").select(
             F.col("event_id").alias("id"), F.element_at(names, (u % 8 + 1).cast("int")).alias("county"),
             (F.col("event_id") % 5).cast("int").alias("severity"), F.col("props").alias("description"),
-            (u * 100 + F.day("ts")).cast("string").alias("reporter_id"), F.col("ts").alias("created_at"),
+            (u * 100 + F.day("ts")).cast("string").alias("reporter_id"), F.col("ts").cast("timestamp").alias("created_at"),
         )
 
     def subscription_requests(self) -> DataFrame:
