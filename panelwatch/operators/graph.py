@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwatch.session import materialize
+
 
 def symmetric_edges(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Both directions of every edge plus a self-loop per node, without repeats."""
@@ -26,10 +28,11 @@ def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 def normalized_adjacency(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """``src, dst, w`` with w = 1 / sqrt(degree(src) * degree(dst)).
 
-    The degree table has one row per node; a node with very many edges is split
-    by the adaptive skew join.
+    The edges are written once, because the degrees and both joins read them. The
+    degree table has one row per node; a node with very many edges is split by
+    the adaptive skew join.
     """
-    both = symmetric_edges(edges, nodes)
+    both = materialize(symmetric_edges(edges, nodes), "edges")
     degree = both.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
     return (
         both.join(degree.select(F.col("node").alias("src"), F.col("degree").alias("d1")), "src")

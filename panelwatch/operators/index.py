@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwatch import constants as C
 from panelwatch.functions.numeric import clamped_share, half_up
 from panelwatch.functions.text import literal_map
+from panelwatch.session import one_row
 
 
 # --- whole-table statistics -------------------------------------------------
@@ -23,58 +24,59 @@ def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*aggs)
 
 
-def with_stats(df: DataFrame, columns: list[str], reference: DataFrame | None = None) -> DataFrame:
-    """Attach ``_stats``: the statistics of ``reference`` (default: the table itself).
+class Stats:
+    """Statistics of some columns as constant columns."""
 
-    The statistics are one row, read through a scalar subquery, so the table is
-    neither shuffled nor joined. Pass a written table when ``df`` is costly.
-    """
-    stats = column_stats(df if reference is None else reference, columns)
-    return df.withColumn("_stats", stats.select(F.struct(*stats.columns)).scalar())
+    def __init__(self, df: DataFrame, columns: list[str]):
+        self._values = one_row(column_stats(df, columns))
+
+    def __call__(self, column: str, what: str) -> Column:
+        """``what`` is mean, std, std_pop, min or max."""
+        value = self._values[f"{column}_{what}"]
+        return F.lit(None if value is None else float(value)).cast("double")
+
+    def zscore(self, c: str) -> Column:
+        std = self(c, "std")
+        return F.when(std > 0, (F.col(c) - self(c, "mean")) / std).otherwise(F.lit(0.0))
+
+    def minmax(self, c: str) -> Column:
+        lo, hi = self(c, "min"), self(c, "max")
+        return F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(F.lit(0.0))
+
+    def clamped(self, c: str, missing: float = 0.5) -> Column:
+        """Share of the observed range in 0..1; a flat range counts as 0..1."""
+        lo, hi = self(c, "min"), self(c, "max")
+        flat = ~F.coalesce(hi > lo, F.lit(False))
+        return clamped_share(F.col(c), F.when(flat, 0.0).otherwise(lo), F.when(flat, 1.0).otherwise(hi), missing)
 
 
 def zscore(df: DataFrame, columns=C.SCALED_COLUMNS) -> DataFrame:
-    """``z_*`` columns by sample deviation; a constant or empty column gives 0."""
-    out = {}
-    for c in columns:
-        std = F.col("_stats")[f"{c}_std"]
-        out[f"z_{c}"] = F.when(std > 0, (F.col(c) - F.col("_stats")[f"{c}_mean"]) / std).otherwise(F.lit(0.0))
-    return with_stats(df, list(columns)).withColumns(out).drop("_stats")
+    """``z_*`` columns by sample deviation; a constant or empty column gives 0.
+
+    Like all scalings it reads ``df`` twice: pass a written table.
+    """
+    stats = Stats(df, list(columns))
+    return df.withColumns({f"z_{c}": stats.zscore(c) for c in columns})
 
 
 def minmax(df: DataFrame, columns=C.SCALED_COLUMNS) -> DataFrame:
     """``n_*`` columns on the observed range; a flat column gives 0."""
-    out = {}
-    for c in columns:
-        lo, hi = F.col("_stats")[f"{c}_min"], F.col("_stats")[f"{c}_max"]
-        out[f"n_{c}"] = F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(F.lit(0.0))
-    return with_stats(df, list(columns)).withColumns(out).drop("_stats")
+    stats = Stats(df, list(columns))
+    return df.withColumns({f"n_{c}": stats.minmax(c) for c in columns})
 
 
 def scale_all(df: DataFrame, columns=C.SCALED_COLUMNS) -> DataFrame:
     """Both scalings and the scaled aridity from one statistics pass."""
-    z, n = {}, {}
-    for c in columns:
-        lo, hi = F.col("_stats")[f"{c}_min"], F.col("_stats")[f"{c}_max"]
-        std = F.col("_stats")[f"{c}_std"]
-        z[f"z_{c}"] = F.when(std > 0, (F.col(c) - F.col("_stats")[f"{c}_mean"]) / std).otherwise(F.lit(0.0))
-        n[f"n_{c}"] = F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(F.lit(0.0))
-    return (
-        with_stats(df, list(columns)).withColumns({**z, **n}).drop("_stats")
-        .withColumn("n_soil_aridity", 1 - F.col("n_soil_moisture_m3m3"))
-    )
+    stats = Stats(df, list(columns))
+    return df.withColumns(
+        {f"z_{c}": stats.zscore(c) for c in columns} | {f"n_{c}": stats.minmax(c) for c in columns}
+    ).withColumn("n_soil_aridity", 1 - F.col("n_soil_moisture_m3m3"))
 
 
 def clamped_minmax(df: DataFrame, columns: list[str], missing: float = 0.5, prefix: str = "s_") -> DataFrame:
-    """Share of the observed range kept in 0..1, ``missing`` for nulls; a flat range counts as 0..1."""
-    out = {}
-    for c in columns:
-        lo, hi = F.col("_stats")[f"{c}_min"], F.col("_stats")[f"{c}_max"]
-        spread = hi > lo
-        out[f"{prefix}{c}"] = clamped_share(
-            F.col(c), F.when(spread, lo).otherwise(F.lit(0.0)), F.when(spread, hi).otherwise(F.lit(1.0)), missing
-        )
-    return with_stats(df, columns).withColumns(out).drop("_stats")
+    """Share of the observed range kept in 0..1, ``missing`` for nulls."""
+    stats = Stats(df, columns)
+    return df.withColumns({f"{prefix}{c}": stats.clamped(c, missing) for c in columns})
 
 
 # --- the index --------------------------------------------------------------
@@ -131,21 +133,13 @@ def index_monthly(df: DataFrame, thresholds=C.TIER_THRESHOLDS, rounded: bool = T
 
     The tier follows the score as reported: rounded to 2 places when ``rounded``.
     """
-    def share(c: str) -> Column:
-        lo, hi = F.col("_stats")[f"{c}_min"], F.col("_stats")[f"{c}_max"]
-        spread = hi > lo
-        return clamped_share(
-            F.col(c), F.when(spread, lo).otherwise(F.lit(0.0)), F.when(spread, hi).otherwise(F.lit(1.0))
-        )
-
+    share = Stats(df if reference is None else reference, INDEX_MONTHLY_INPUTS).clamped
     g = growth(share("sm_lag6"), share("tmax_lag6"), share("precip_lag18")) / C.GROWTH_TOTAL
     e = exposure(
         share("pm10_lag1"), 1 - share("soil_moisture_m3m3"), share("wind_roll3"), share("tmax_lag1")
     ) / C.EXPOSURE_TOTAL
-    scored = (
-        with_stats(df, INDEX_MONTHLY_INPUTS, reference)
-        .withColumn("gpot", g).withColumn("erisk", e).drop("_stats")
-        .withColumn("risk_score", F.col("gpot") * F.col("erisk") * 100)
+    scored = df.withColumn("gpot", g).withColumn("erisk", e).withColumn(
+        "risk_score", F.col("gpot") * F.col("erisk") * 100
     )
     if rounded:
         scored = scored.withColumns({

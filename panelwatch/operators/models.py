@@ -96,13 +96,11 @@ def with_residual(df: DataFrame, actual: str = "monthly_cases", predicted: str =
 
 def normalize_target(df: DataFrame, target: str, reference: DataFrame | None = None) -> DataFrame:
     """``target_norm`` by global mean and population deviation, kept beside it for the way back."""
-    from panelwatch.operators.index import with_stats
+    from panelwatch.operators.index import Stats
 
-    out = with_stats(df, [target], reference)
-    return (
-        out.withColumn("y_mean", F.col("_stats")[f"{target}_mean"])
-        .withColumn("y_std", F.col("_stats")[f"{target}_std_pop"]).drop("_stats")
-        .withColumn("target_norm", F.when(F.col("y_std") > 0, (F.col(target) - F.col("y_mean")) / F.col("y_std")))
+    stats = Stats(df if reference is None else reference, [target])
+    return df.withColumn("y_mean", stats(target, "mean")).withColumn("y_std", stats(target, "std_pop")).withColumn(
+        "target_norm", F.when(F.col("y_std") > 0, (F.col(target) - F.col("y_mean")) / F.col("y_std"))
     )
 
 

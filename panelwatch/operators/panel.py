@@ -15,7 +15,7 @@ from panelwatch import constants as C
 from panelwatch.functions.numeric import clamp
 from panelwatch.functions.text import month_index
 from panelwatch.operators.quantiles import exact_quantiles
-from panelwatch.session import materialize
+from panelwatch.session import materialize, one_row
 
 
 def _forward(key: list[str], order: list[str]):
@@ -124,19 +124,20 @@ def fill_linear(panel: DataFrame, columns: list[str], key=("county",), order=("d
 def fill_median(panel: DataFrame, columns: list[str]) -> DataFrame:
     """Entities without any value take the exact median over all entities.
 
-    The panel is written once: the medians read it several times.
+    The panel is written once. Columns without gaps cost one counting pass; for
+    the others the medians come from a few passes over just those columns.
     """
     panel = materialize(panel, "median-input")
-    tall = panel.select(*columns).unpivot([], columns, "column", "v")
+    gaps = one_row(panel.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]))
+    open_columns = [c for c in columns if gaps[c]]
+    if not open_columns:
+        return panel
+    tall = panel.select(*open_columns).unpivot([], open_columns, "column", "v")
     medians = exact_quantiles(tall, "v", [0.5], ["column"], few_keys=True)
-    row = medians.agg(F.struct(*[
-        F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in columns
-    ]).alias("m")).scalar()
-    return (
-        panel.withColumn("_m", row)
-        .withColumns({c: F.coalesce(F.col(c), F.col("_m")[c]) for c in columns})
-        .drop("_m")
-    )
+    middle = one_row(medians.agg(*[
+        F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in open_columns
+    ]))
+    return panel.withColumns({c: F.coalesce(F.col(c), F.lit(middle[c]).cast("double")) for c in open_columns})
 
 
 def impute(panel: DataFrame) -> DataFrame:
@@ -208,17 +209,10 @@ def sliding_windows(df: DataFrame, features: list[str], target: str, size: int =
 def dense_panel(monthly: DataFrame, values: list[str], key: str = "county") -> DataFrame:
     """One row per entity and time step that occurs anywhere; missing cells are 0.
 
-    The distinct steps (at most one per month of the calendar) travel as an
-    array literal and are exploded per entity.
+    The distinct steps travel as an array constant and are exploded per entity.
     """
-    steps = monthly.select(month_index(F.col("year"), F.col("month")).alias("t")).agg(
-        F.array_sort(F.collect_set("t")).alias("steps")
-    )
-    grid = (
-        monthly.select(key).distinct()
-        .select(key, F.explode(steps.scalar()).alias("t"))
-    )
     cells = monthly.select(key, month_index(F.col("year"), F.col("month")).alias("t"), *values)
+    grid = monthly.select(key).distinct().select(key, F.explode(F.lit(time_steps(cells))).alias("t"))
     return (
         grid.join(cells, [key, "t"], "left").na.fill(0.0, values)
         .select(key, "t", F.floor((F.col("t") - 1) / 12).cast("int").alias("year"),
@@ -228,39 +222,37 @@ def dense_panel(monthly: DataFrame, values: list[str], key: str = "county") -> D
 
 def cut_at_last_valid(df: DataFrame, last_year: int, year: str = "year", t: str = "t") -> DataFrame:
     """Rows up to the last step of ``last_year`` or earlier that occurs in the data."""
-    last = df.agg(F.max(F.when(F.col(year) <= last_year, F.col(t))).alias("last")).scalar()
-    return df.filter(F.col(t) <= last)
+    last = one_row(df.agg(F.max(F.when(F.col(year) <= last_year, F.col(t))).alias("last")))["last"]
+    return df.filter(F.col(t) <= F.lit(last))
 
 
-def step_numbers(df: DataFrame, t: str = "t", name: str = "step") -> DataFrame:
-    """0-based position of each time step among the distinct steps of the data.
+def time_steps(df: DataFrame, t: str = "t") -> list:
+    """The distinct time steps in order: at most one per month or day of the calendar."""
+    return one_row(df.agg(F.array_sort(F.collect_set(t)).alias("steps")))["steps"]
 
-    Distinct steps are calendar-bounded, so they fit an array literal; no row
-    passes through an unpartitioned window.
-    """
-    return _with_steps(df, t).withColumn(name, _position(t)).drop("_steps")
 
+def _position(steps: list, t: str) -> Column:
+    return (F.array_position(F.lit(steps), F.col(t)) - 1).cast("long")
 
-def _with_steps(df: DataFrame, t: str) -> DataFrame:
-    return df.withColumn("_steps", df.agg(F.array_sort(F.collect_set(t)).alias("steps")).scalar())
 
+def step_numbers(df: DataFrame, t: str = "t", name: str = "step") -> DataFrame:
+    """0-based position of each time step among the distinct steps of the data.
 
-def _position(t: str) -> Column:
-    return (F.array_position("_steps", F.col(t)) - 1).cast("long")
+    No row passes through an unpartitioned window.
+    """
+    return df.withColumn(name, _position(time_steps(df, t), t))
 
 
 def temporal_split(df: DataFrame, share: float = 0.8, t: str = "t") -> DataFrame:
     """Mark the first ``int(share * n)`` time steps as training, the rest as test.
 
-    ``test_sample`` numbers the test steps from 0.
+    ``test_sample`` numbers the test steps from 0. ``df`` is read for the steps
+    first: pass a written table.
     """
-    cut = F.floor(F.lit(share) * F.size("_steps"))
-    return (
-        _with_steps(df, t)
-        .withColumn("_ahead", _position(t) - cut)
-        .withColumn("split", F.when(F.col("_ahead") < 0, F.lit("train")).otherwise(F.lit("test")))
-        .withColumn("test_sample", F.when(F.col("_ahead") >= 0, F.col("_ahead")))
-        .drop("_steps", "_ahead")
+    steps = time_steps(df, t)
+    ahead = _position(steps, t) - int(share * len(steps))
+    return df.withColumn("split", F.when(ahead < 0, F.lit("train")).otherwise(F.lit("test"))).withColumn(
+        "test_sample", F.when(ahead >= 0, ahead)
     )
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwatch.session import materialize
+
 
 def _bucket(value: Column, lo: Column, hi: Column, buckets: int) -> Column:
     """Bucket number of a value in [lo, hi]; never decreases as the value grows."""
@@ -41,10 +43,20 @@ def _rows_in_open_ranges(rows: DataFrame, wanted: DataFrame, key: list[str], few
     """
     open_ranges = wanted.groupBy(*key).agg(F.collect_set(F.struct("lo", "hi")).alias("_open"))
     if few_keys:
-        open_ranges = F.broadcast(open_ranges)
+        by_key = {tuple(r[k] for k in key): r["_open"] for r in open_ranges.collect()}
+        opened = F.lit(None).cast("array<struct<lo:double,hi:double>>")
+        for values, ranges in by_key.items():
+            same = F.lit(True)
+            for k, v in zip(key, values):
+                same = same & (F.col(k) == F.lit(v))
+            lit = F.array(*[F.struct(F.lit(r["lo"]).alias("lo"), F.lit(r["hi"]).alias("hi")) for r in ranges])
+            opened = F.when(same, lit).otherwise(opened)
+        marked = rows.withColumn("_open", opened)
+    else:
+        marked = rows.join(open_ranges, key)
     hit = F.filter("_open", lambda r: F.col("v").between(r["lo"], r["hi"]))
     return (
-        rows.join(open_ranges, key)
+        marked
         .withColumn("_hit", F.try_element_at(hit, F.lit(1)))
         .filter(F.col("_hit").isNotNull())
         .select(*key, "v", F.col("_hit.lo").alias("lo"), F.col("_hit.hi").alias("hi"))
@@ -58,8 +70,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], keys: list[st
     ``rounds`` cuts of ``buckets`` each leave about 1 / buckets**rounds of a
     group's spread in the last step, before equal values are merged. Without
     keys, or with ``few_keys`` (the caller knows the key list is short), the
-    ranges are broadcast and the rows are not shuffled at all; otherwise the
-    key join follows the table sizes and splits hot keys at run time.
+    ranges enter the plan as constants and the rows are not shuffled at all;
+    otherwise the key join follows the table sizes and splits hot keys at run
+    time. ``df`` is read ``rounds + 2`` times: pass a written table.
     """
     few_keys = few_keys or not keys
     keys = list(keys or [])
@@ -67,7 +80,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], keys: list[st
     rows = df.select(*keys, *([] if keys else [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("v"))
     rows = rows.filter(F.col("v").isNotNull() & ~F.isnan("v"))
     sized = rows.groupBy(*key).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    wanted = _wanted_ranks(sized, key, probs)
+    wanted = materialize(_wanted_ranks(sized, key, probs), "ranks")
 
     for _ in range(rounds):
         inside = _rows_in_open_ranges(rows, wanted, key, few_keys)
@@ -77,11 +90,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], keys: list[st
         )
         run = Window.partitionBy(*key, "lo", "hi").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
         upto = counts.withColumn("upto", F.sum("c").over(run))
-        wanted = (
+        wanted = materialize(
             wanted.join(upto, [*key, "lo", "hi"])
             .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
             .select(*key, F.col("blo").alias("lo"), F.col("bhi").alias("hi"), "prob", "frac", "side",
-                    (F.col("rank") - (F.col("upto") - F.col("c"))).alias("rank"))
+                    (F.col("rank") - (F.col("upto") - F.col("c"))).alias("rank")),
+            "ranks",
         )
 
     values = (

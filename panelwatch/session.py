@@ -63,3 +63,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def one_row(df: DataFrame) -> dict:
+    """The single row of an ungrouped aggregate as plain values.
+
+    Column statistics are read this way and enter later plans as constants: a
+    filter pushed through them copies numbers, not another pass over the data.
+    """
+    return df.first().asDict()

@@ -3,14 +3,15 @@
 The library works on weather, dust, case and report tables. These views give
 every query such tables at the size of the given data: nations stand for
 counties, order days for weather days, ship days for dust days, error events for
-reports, customers for points and phones. Decimal sums keep results free of the
-order of addition.
+reports, customers for points and phones. Whole-number sums keep results free
+of the order of addition.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from panelwatch import constants as C
 from panelwatch.operators import index, panel
@@ -34,8 +35,16 @@ POLYGON_ROWS = [
 ]
 
 
-def _dec(name: str, scale: int = 2):
-    return F.col(name).cast(f"decimal(14,{scale})")
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def _cents(name: str) -> Column:
+    """Amount in hundredths: whole numbers add up exactly in any order."""
+    return F.rint(F.col(name) * 100).cast("long")
+
+
+def _amount(cents: Column) -> Column:
+    return cents / F.lit(100.0)
 
 
 class Standins:
@@ -46,7 +55,11 @@ class Standins:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A given table; its schema is read from the files once per session, as a catalog would hold it."""
+        path = self.path(name)
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
@@ -64,18 +77,18 @@ class Standins:
     # --- daily tables
 
     def weather(self) -> DataFrame:
-        """Lines are summed per order before the join, so the join carries one row per order."""
-        lines = self.table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-            F.sum(_dec("l_quantity")).alias("q"), F.sum(_dec("l_discount")).alias("d"),
-            F.sum(_dec("l_tax")).alias("x"), F.count(F.lit(1)).alias("n"),
+        """Order days per nation. Tables are joined as they are and summed by nation and day at once:
+        every task sends one row per nation and day, whichever nation is largest."""
+        lines = self.table("lineitem").select(
+            F.col("l_orderkey").alias("o_orderkey"), _cents("l_quantity").alias("q"), _cents("l_discount").alias("d"),
+            _cents("l_tax").alias("x"),
         )
         orders = self.table("orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("date"))
-        customers = self.table("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+        customers = self.table("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
         per_day = (
-            orders.join(lines, "o_orderkey").join(customers, "o_custkey")
-            .groupBy(F.col("c_nationkey").alias("n_nationkey"), "date")
-            .agg(F.sum("q").cast("double").alias("q"), F.sum("d").cast("double").alias("d"),
-                 F.sum("x").cast("double").alias("x"), F.sum("n").alias("n"))
+            lines.join(orders, "o_orderkey").join(customers, "o_custkey").groupBy("n_nationkey", "date")
+            .agg(_amount(F.sum("q")).alias("q"), _amount(F.sum("d")).alias("d"), _amount(F.sum("x")).alias("x"),
+                 F.count(F.lit(1)).alias("n"))
         )
         k, day = F.col("n_nationkey"), F.day("date")
         return per_day.join(self.table("nation").select("n_nationkey", "n_name"), "n_nationkey").select(
@@ -86,29 +99,29 @@ class Standins:
         )
 
     def air(self) -> DataFrame:
-        """Lines are summed per supplier and day before the join."""
-        lines = self.table("lineitem").groupBy(
-            F.col("l_suppkey").alias("s_suppkey"), F.to_date("l_shipdate").alias("date")
-        ).agg(F.sum(_dec("l_extendedprice")).alias("p"), F.count(F.lit(1)).alias("n"))
+        """Ship days per supplier nation."""
+        lines = self.table("lineitem").select(
+            F.col("l_suppkey").alias("s_suppkey"), F.to_date("l_shipdate").alias("date"), _cents("l_extendedprice").alias("p")
+        )
         suppliers = self.table("supplier").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey"))
         nations = self.table("nation").select("n_nationkey", F.col("n_name").alias("county"))
         return (
             lines.join(suppliers, "s_suppkey").groupBy("n_nationkey", "date")
-            .agg(F.sum("p").cast("double").alias("p"), F.sum("n").alias("n"))
+            .agg(_amount(F.sum("p")).alias("p"), F.count(F.lit(1)).alias("n"))
             .join(nations, "n_nationkey")
             .select("date", "county", (F.col("p") / F.col("n") / 500).alias("pm10_ugm3"))
         )
 
     def cases(self) -> DataFrame:
-        """Orders are counted per customer and year before the join."""
-        orders = self.table("orders").filter(F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp_ntz")).groupBy(
+        """Orders per nation and year, none after 2000."""
+        orders = self.table("orders").filter(F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp_ntz")).select(
             F.col("o_custkey").alias("c_custkey"), F.year("o_orderdate").alias("year")
-        ).agg(F.count(F.lit(1)).alias("n"))
+        )
         customers = self.table("customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
         nations = self.table("nation").select("n_nationkey", F.col("n_name").alias("county"))
         return (
             orders.join(customers, "c_custkey").groupBy("n_nationkey", "year")
-            .agg(F.sum("n").cast("long").alias("case_count")).join(nations, "n_nationkey")
+            .agg(F.count(F.lit(1)).alias("case_count")).join(nations, "n_nationkey")
             .select("county", "year", "case_count", F.lit("reported").alias("cases_source"))
         )
 
@@ -217,7 +230,7 @@ class Standins:
     def user_days(self) -> DataFrame:
         """Events per user and day, the grain of the payloads."""
         return self.table("events").groupBy(F.col("user_id").cast("string").alias("county"), F.to_date("ts").alias("date")).agg(
-            F.sum(_dec("value")).cast("double").alias("total"), F.max("value").alias("top"), F.min("value").alias("low"),
+            _amount(F.sum(_cents("value"))).alias("total"), F.max("value").alias("top"), F.min("value").alias("low"),
         )
 
     def weather_payload(self) -> DataFrame:
