@@ -1,6 +1,6 @@
 """Point-to-area operators: boxes, nearest centres, polygons.
 
-Short area lists (checked by count) are read as one array literal and scanned
+Short area lists (checked by count) become one array constant that is scanned
 per point, so points are never shuffled. Longer lists go through a grid: areas
 and points meet on equal cell numbers, never as all pairs.
 """
@@ -16,14 +16,15 @@ from panelwatch.session import materialize
 SHORT_LIST = 256
 
 
-def is_short(df: DataFrame, limit: int = SHORT_LIST) -> bool:
-    """Whether a dimension has at most ``limit`` rows; reads ``limit + 1`` rows at most."""
-    return df.limit(limit + 1).count() <= limit
+def short_rows(df: DataFrame, columns: list[str], limit: int) -> list | None:
+    """The rows of a dimension with at most ``limit`` rows, else None; reads ``limit + 1`` rows at most."""
+    rows = df.select(*columns).limit(limit + 1).collect()
+    return rows if len(rows) <= limit else None
 
 
-def as_array(df: DataFrame, *columns: str) -> Column:
-    """All rows of a short dimension as one array of structs."""
-    return df.agg(F.collect_list(F.struct(*columns))).scalar()
+def _as_array(rows: list, columns: list[str]) -> Column:
+    """Rows as one array constant of structs."""
+    return F.array(*[F.struct(*[F.lit(row[c]).alias(c) for c in columns]) for row in rows])
 
 
 def _cell(x: Column, size: float) -> Column:
@@ -47,10 +48,10 @@ def box_lookup(points: DataFrame, boxes: DataFrame, id: str = "id", cell: float
     def holds(b) -> Column:
         return F.col("lat").between(b["lat_min"], b["lat_max"]) & F.col("lon").between(b["lon_min"], b["lon_max"])
 
-    if is_short(boxes, short_limit):
-        every = as_array(boxes, "ord", "county", "lat_min", "lat_max", "lon_min", "lon_max")
-        first = F.array_min(F.filter(F.col("_boxes"), holds))
-        return points.withColumn("_boxes", every).withColumn("box_county", first["county"]).drop("_boxes")
+    columns = ["ord", "county", "lat_min", "lat_max", "lon_min", "lon_max"]
+    rows = short_rows(boxes, columns, short_limit)
+    if rows:
+        return points.withColumn("box_county", F.array_min(F.filter(_as_array(rows, columns), holds))["county"])
     cells = _with_box_cells(boxes, cell)
     met = _with_point_cell(points, cell).select(id, "lat", "lon", "_cy", "_cx").join(cells, ["_cy", "_cx"])
     found = met.filter(holds({c: F.col(c) for c in ("lat_min", "lat_max", "lon_min", "lon_max")})).groupBy(id).agg(
@@ -65,12 +66,13 @@ def nearest_center(points: DataFrame, centers: DataFrame, id: str = "id", cell:
     def squared(c) -> Column:
         return (F.col("lat") - c["lat"]) * (F.col("lat") - c["lat"]) + (F.col("lon") - c["lon"]) * (F.col("lon") - c["lon"])
 
-    if is_short(centers, short_limit):
-        every = as_array(centers, "ord", "county", "lat", "lon")
-        best = F.array_min(F.transform(F.col("_centers"), lambda c: F.struct(
+    columns = ["ord", "county", "lat", "lon"]
+    rows = short_rows(centers, columns, short_limit)
+    if rows:
+        best = F.array_min(F.transform(_as_array(rows, columns), lambda c: F.struct(
             squared(c).alias("d"), c["ord"].alias("ord"), c["county"].alias("county")
         )))
-        return points.withColumn("_centers", every).withColumn("near_county", best["county"]).drop("_centers")
+        return points.withColumn("near_county", best["county"])
     return points.join(_nearest_by_grid(points.select(id, "lat", "lon"), centers, id, cell), id, "left")
 
 
