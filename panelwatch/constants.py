@@ -167,8 +167,8 @@ ADVICE_TEXTS = {
 
 INSIGHT_TEXTS = {
     "peak": "Historically, %s sees peak Valley Fever risk around %s due to dry summer conditions.",
-    "mean": "The %d–%d dataset shows cases averaging %.0f/month for this county.",
-    "trend": "Year-over-year trend: %d averaged %.0f cases/month vs %d's %.0f — a %s.",
+    "mean": "The %d–%d dataset shows cases averaging %s/month for this county.",
+    "trend": "Year-over-year trend: %d averaged %s cases/month vs %d's %s — a %s.",
     "trend_up": "significant increase",
     "trend_flat": "similar level",
 }

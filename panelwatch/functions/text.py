@@ -58,8 +58,15 @@ def needs_search(text: Column, words=C.SEARCH_KEYWORDS) -> Column:
 
 
 def signed_percent(col: Column) -> Column:
-    """``+12%`` style text."""
-    return F.format_string("%+.0f%%", col)
+    """``+12%`` style text; null stays null."""
+    return F.when(col.isNotNull(), F.format_string("%+.0f%%", col))
+
+
+def whole_text(col: Column) -> Column:
+    """Whole number as text; a missing value reads ``nan``."""
+    from panelwatch.functions.numeric import half_up, nan_to_null
+
+    return F.coalesce(half_up(nan_to_null(col), 0).cast("long").cast("string"), F.lit("nan"))
 
 
 def fill_template(template: Column, values: dict[str, Column]) -> Column:

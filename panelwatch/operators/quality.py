@@ -50,7 +50,7 @@ def dominant_floor(panel: DataFrame, county: str, year: int, floor: int) -> Data
         F.max("case_count").alias("cases")
     )
     return _row(found, "dominant_floor", F.col("cases") >= floor,
-                F.coalesce(F.format_string("%d cases", "cases"), F.lit("missing")))
+                F.when(F.col("cases").isNull(), "missing").otherwise(F.format_string("%d cases", "cases")))
 
 
 def score_identity(scored: DataFrame, tolerance: float = 0.01) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwatch import constants as C
 from panelwatch.functions.numeric import half_up, truthy
-from panelwatch.functions.text import literal_map, month_index, month_label, signed_percent
+from panelwatch.functions.text import literal_map, month_index, month_label, signed_percent, whole_text
 from panelwatch.operators.index import legacy_score, optional_column
 from panelwatch.operators.panel import last_rows
 from panelwatch.operators.stats import anomalies, peak_calendar_month, peak_record, trend, yearly_insight
@@ -109,28 +109,22 @@ def insights(predictions: DataFrame, first_year: int = 2021, last_year: int = 20
     """Three sentences per place: peak month, mean, trend. A missing mean reads ``nan``."""
     months = F.array(*[F.lit(m) for m in C.MONTH_NAMES])
     name = F.element_at(months, F.col("peak_month"))
-    nan = F.lit(float("nan"))
     both = trend(predictions, base_year, year).join(peak_calendar_month(predictions), "county")
     word = F.when(F.col("increase"), F.lit(texts["trend_up"])).otherwise(F.lit(texts["trend_flat"]))
     return both.select("county", F.array(
         F.format_string(texts["peak"], "county", name),
-        F.format_string(texts["mean"], F.lit(first_year), F.lit(last_year), _whole("overall_mean")),
-        F.format_string(texts["trend"], F.lit(base_year), _whole(F.coalesce("base_mean", nan)), F.lit(year),
-                        _whole(F.coalesce("year_mean", nan)), word),
+        F.format_string(texts["mean"], F.lit(first_year), F.lit(last_year), whole_text(F.col("overall_mean"))),
+        F.format_string(texts["trend"], F.lit(base_year), whole_text(F.col("base_mean")), F.lit(year),
+                        whole_text(F.col("year_mean")), word),
     ).alias("insights"))
 
 
-def _whole(col) -> Column:
-    col = F.col(col) if isinstance(col, str) else col
-    return F.when(F.isnan(col), col).otherwise(half_up(F.when(~F.isnan(col), col), 0))
-
-
 def insight_rows(predictions: DataFrame) -> DataFrame:
     """Yearly rollup with its sentence and the month of record."""
     rows = yearly_insight(predictions).join(peak_record(predictions).withColumnRenamed("peak_cases", "record_cases"), "county")
     return rows.withColumn("line", F.format_string(
-        "%d: avg %.0f cases/mo, peak %.0f, high-risk months: %d",
-        "year", half_up(F.col("avg_cases"), 0), half_up(F.col("peak_cases"), 0), "high_risk_months",
+        "%d: avg %s cases/mo, peak %s, high-risk months: %d",
+        "year", whole_text(F.col("avg_cases")), whole_text(F.col("peak_cases")), "high_risk_months",
     ))
 
 
