@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +13,6 @@ from panelwatch.session import materialize, scratch_path
 from panelwatch.sources.standins import REPORT_NOW, Standins
 from panelwatch.streaming import refresh, reports
 
-UTC = dt.timezone.utc
-
 
 # --- refresh ----------------------------------------------------------------
 
@@ -30,11 +26,14 @@ def _available(s: Standins) -> DataFrame:
 
 def _state(s: Standins) -> DataFrame:
     """Stored state with one source never loaded."""
-    return s.spark.createDataFrame([
-        ("weather", dt.date(2001, 1, 1), dt.datetime(2024, 1, 29, 12, 0, tzinfo=UTC), dt.datetime(2024, 1, 29, tzinfo=UTC)),
-        ("air_quality", dt.date(2010, 1, 1), dt.datetime(2024, 1, 1, tzinfo=UTC), dt.datetime(2024, 1, 28, tzinfo=UTC)),
+    rows = [
+        ("weather", "2001-01-01", "2024-01-29 12:00:00", "2024-01-29 00:00:00"),
+        ("air_quality", "2010-01-01", "2024-01-01 00:00:00", "2024-01-28 00:00:00"),
         ("cases", None, None, None),
-    ], "source string, last_date date, last_check timestamp, last_run timestamp")
+    ]
+    return s.spark.createDataFrame(rows, "source string, d string, c string, r string").select(
+        "source", F.col("d").cast("date").alias("last_date"), F.col("c").cast("timestamp").alias("last_check"),
+        F.col("r").cast("timestamp").alias("last_run"))
 
 
 _STATE = ("(VALUES ('weather', DATE '2001-01-01', TIMESTAMP '2024-01-29 12:00:00', TIMESTAMP '2024-01-29 00:00:00'), "
@@ -224,7 +223,7 @@ def stma_stream(s: Standins) -> DataFrame:
 def stmb_stream(s: Standins) -> DataFrame:
     path = refresh.stream_table(s.spark, "badges")
     refresh.run_to_end(reports.stream_badges(_report_stream(s), path))
-    return refresh.read_latest(s.spark, path)
+    return refresh.read_latest(s.spark, path, ["reporter_id"])
 
 
 _WINDOWS = ("SELECT county, w AS window_start, w + INTERVAL 24 HOUR AS window_end, count(*) AS reports, max(severity) AS max_severity FROM reports, "
@@ -254,7 +253,7 @@ def inc3_stream(s: Standins) -> DataFrame:
         load.drop("load_id").coalesce(1).write.mode("append").parquet(inbox)
         stream = s.spark.readStream.schema("county string, date date, precip_mm double").parquet(inbox)
         refresh.run_to_end(refresh.stream_upsert(stream, path))
-    return refresh.read_latest(s.spark, path)
+    return refresh.read_latest(s.spark, path, ["county", "date"])
 
 
 # --- models -----------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from panelwatch import constants as C
 from panelwatch.functions.text import clean_header, title_name
@@ -115,7 +116,7 @@ def current_conditions(payload: DataFrame) -> DataFrame:
 
 def read_pm10_bulk(spark, path: str) -> DataFrame:
     """Unpacked yearly bulk files, all columns as text; only five columns are parsed."""
-    wanted = [f.name for f in spark.createDataFrame([], S.PM10_BULK).schema]
+    wanted = StructType.fromDDL(S.PM10_BULK).fieldNames()
     return spark.read.option("header", True).csv(path).select(*[F.col(f"`{c}`") for c in wanted])
 
 

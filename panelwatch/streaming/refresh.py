@@ -106,50 +106,38 @@ def status(state: DataFrame) -> DataFrame:
 
 # --- streams ----------------------------------------------------------------
 
-def stream_upsert(source: DataFrame, path: str, key=("county", "date"), trigger: dict | None = None):
-    """Keep a table of the newest row per key from a file stream.
+def append_batch(path: str):
+    """``foreachBatch`` writer that stores each batch as its own ``load_id`` partition.
 
-    Each batch is folded into a new version of the table (``v=<batch>``); a
-    repeated batch writes the same version again, so a restart is safe. The
-    checkpoint sits beside the versions.
+    The work per batch follows the batch, not the table. A batch that is
+    repeated after a failure overwrites just its own partition.
     """
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        merged = batch.withColumn("load_id", F.lit(batch_id).cast("long"))
-        previous = _versions_before(spark, path, batch_id)
-        if previous is not None:
-            merged = merged.unionByName(previous)
-        unique_steps(merged, list(key), ["load_id"]).write.mode("overwrite").parquet(f"{path}/v={batch_id:010d}")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (
+            batch.withColumn("load_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy("load_id").parquet(f"{path}/data")
+        )
 
+    return write
+
+
+def stream_upsert(source: DataFrame, path: str, trigger: dict | None = None):
+    """Collect the loads of a file stream; ``read_latest`` gives the newest row per key."""
     return (
-        source.writeStream.foreachBatch(fold).option("checkpointLocation", f"{path}/_checkpoint")
+        source.writeStream.foreachBatch(append_batch(path)).option("checkpointLocation", f"{path}/_checkpoint")
         .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
-def _version_paths(spark, path: str) -> list[tuple[int, str]]:
-    """Version folders of a folded table, oldest first; only those whose write finished."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(conf)
-    if not fs.exists(folder):
-        return []
-    done = []
-    for entry in fs.listStatus(folder):
-        name = entry.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")):
-            done.append((int(name[2:]), f"{path}/{name}"))
-    return sorted(done)
-
-
-def _versions_before(spark, path: str, batch_id: int) -> DataFrame | None:
-    older = [p for version, p in _version_paths(spark, path) if version < batch_id]
-    return spark.read.parquet(older[-1]) if older else None
+def read_latest(spark, path: str, key: list[str], within: tuple[str, ...] = ()) -> DataFrame:
+    """Newest row per key; ``within`` orders repeats inside one load."""
+    return unique_steps(spark.read.parquet(f"{path}/data"), key, ["load_id", *within])
 
 
-def read_latest(spark, path: str) -> DataFrame:
-    """Newest finished version of a folded table."""
-    return spark.read.parquet(_version_paths(spark, path)[-1][1])
+def compact(spark, path: str, target: str, key: list[str], within: tuple[str, ...] = ()) -> None:
+    """Write the newest rows as the first load of a new table, so that reads stay short."""
+    latest = read_latest(spark, path, key, within).withColumn("load_id", F.lit(-1).cast("long"))
+    latest.write.partitionBy("load_id").parquet(f"{target}/data")
 
 
 def run_to_end(query) -> None:

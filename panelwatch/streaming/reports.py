@@ -104,21 +104,11 @@ def stream_ingest(reports: DataFrame, path: str, trigger: dict | None = None):
 
 
 def stream_badges(reports: DataFrame, path: str, trigger: dict | None = None):
-    """Running badge table: changed reporters are folded into the stored table per batch."""
-    from panelwatch.streaming.refresh import _versions_before
-    from panelwatch.operators.panel import unique_steps
-
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        merged = batch.withColumn("load_id", F.lit(batch_id).cast("long"))
-        previous = _versions_before(batch.sparkSession, path, batch_id)
-        if previous is not None:
-            merged = merged.unionByName(previous)
-        unique_steps(merged, ["reporter_id"], ["load_id"]).write.mode("overwrite").parquet(
-            f"{path}/v={batch_id:010d}"
-        )
+    """Running badge table: every batch stores the reporters it changed (see ``read_latest``)."""
+    from panelwatch.streaming.refresh import append_batch
 
     return (
-        badges(reports).writeStream.outputMode("update").foreachBatch(fold)
+        badges(reports).writeStream.outputMode("update").foreachBatch(append_batch(path))
         .option("checkpointLocation", f"{path}/_checkpoint").trigger(**(trigger or {"availableNow": True})).start()
     )
 
