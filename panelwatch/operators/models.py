@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -16,7 +18,7 @@ from panelwatch import constants as C
 
 def assemble(df: DataFrame, features=C.MODEL_FEATURES) -> DataFrame:
     """Feature vector column ``raw_features``."""
-    return VectorAssembler(inputCols=list(features), outputCol="raw_features", handleInvalid="skip").transform(df)
+    return VectorAssembler(inputCols=list(features), outputCol="raw_features").transform(df)
 
 
 def standardize(train: DataFrame, df: DataFrame | None = None, features=C.MODEL_FEATURES) -> DataFrame:
@@ -55,30 +57,35 @@ def fold_of(key: str, folds: int) -> Column:
 
 
 def leave_out_predict(df: DataFrame, estimator, key: str = "county", features=C.MODEL_FEATURES,
-                      max_folds: int = 32) -> DataFrame:
+                      max_folds: int = 32, parallel: int = 4) -> DataFrame:
     """Prediction for every row by a model that never saw the row's entity.
 
     Up to ``max_folds`` entities each get a fold of their own (leave one out);
     more entities share that many folds, so the number of fits stays bounded
     while no entity is ever in its own training set. The scaler is part of each
-    fit. ``df`` should be a written or cached table: every fold reads it.
+    fit, and ``parallel`` fits run at a time. ``df`` should be a written or
+    cached table: every fold reads it.
     """
     entities = [r[0] for r in df.select(key).distinct().limit(max_folds + 1).collect()]
     if len(entities) <= max_folds:
         tests = [F.col(key).eqNullSafe(F.lit(e)) for e in sorted(entities, key=str)]
     else:
-        tests = [fold_of(key, max_folds) == i for i in range(max_folds)]
-    pipeline = Pipeline(stages=[
-        VectorAssembler(inputCols=list(features), outputCol="raw_features", handleInvalid="skip"),
-        StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-        estimator,
-    ])
-    parts = []
-    for held_out in tests:
-        train = df.filter(~held_out)
-        if train.isEmpty() or df.filter(held_out).isEmpty():
-            continue
-        parts.append(pipeline.fit(train).transform(df.filter(held_out)).drop("raw_features", "features"))
+        used = [r[0] for r in df.select(fold_of(key, max_folds).alias("fold")).distinct().collect()]
+        tests = [fold_of(key, max_folds) == i for i in sorted(used)]
+    if len(tests) < 2:
+        raise ValueError("leaving one out needs at least two entities")
+
+    def one_fold(held_out: Column) -> DataFrame:
+        pipeline = Pipeline(stages=[
+            VectorAssembler(inputCols=list(features), outputCol="raw_features"),
+            StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
+            estimator,
+        ])
+        model = pipeline.fit(df.filter(~held_out))
+        return model.transform(df.filter(held_out)).drop("raw_features", "features")
+
+    with ThreadPool(min(parallel, len(tests))) as pool:
+        parts = pool.map(inheritable_thread_target(df.sparkSession)(one_fold), tests)
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -30,10 +30,10 @@ def join_air(weather: DataFrame, air: DataFrame) -> DataFrame:
 
 
 def attach_cases(panel: DataFrame, cases: DataFrame) -> DataFrame:
-    """Yearly case count on every day of that place and year; none gives 0 / ``no_data``."""
+    """Yearly case count on every row of that place and year; none gives 0 / ``no_data``."""
+    dated = panel if "year" in panel.columns else panel.withColumn("year", F.year("date"))
     return (
-        panel.withColumn("year", F.year("date"))
-        .join(cases, ["county", "year"], "left")
+        dated.join(cases, ["county", "year"], "left")
         .na.fill({"case_count": 0, "cases_source": C.NO_CASES_SOURCE})
     )
 
@@ -259,17 +259,16 @@ def temporal_split(df: DataFrame, share: float = 0.8, t: str = "t") -> DataFrame
 # --- rollup -----------------------------------------------------------------
 
 def monthly_rollup(daily: DataFrame) -> DataFrame:
-    """Daily master to months: rain summed, other measures averaged, the rest first known."""
+    """Daily panel to months: rain summed, other measures averaged, the rest (where present) first known."""
     def first_known(c: str) -> Column:
         return F.min_by(c, F.when(F.col(c).isNotNull(), F.col("date"))).alias(c)
 
     return (
         daily.groupBy("county", F.year("date").alias("year"), F.month("date").alias("month"))
         .agg(
-            first_known("fips"), first_known("lat"), first_known("lon"),
             F.coalesce(F.sum("precip_mm"), F.lit(0.0)).alias("precip_mm"),
             *[F.avg(c).alias(c) for c in C.MEASURES if c != "precip_mm"],
-            first_known("case_count"),
+            *[first_known(c) for c in ("fips", "lat", "lon", "case_count") if c in daily.columns],
         )
     )
 

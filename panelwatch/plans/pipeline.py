@@ -15,6 +15,17 @@ def daily_master(weather: DataFrame, air: DataFrame, cases: DataFrame, meta: Dat
     return panel.order_columns(panel.attach_meta(joined, meta))
 
 
+def monthly_master(weather: DataFrame, air: DataFrame, cases: DataFrame, meta: DataFrame) -> DataFrame:
+    """The monthly rollup of the daily master.
+
+    Case counts and place data are the same on every day of a year, so they are
+    joined to the months instead of the days: the days are shuffled once less
+    and the rollup holds numbers only.
+    """
+    months = panel.monthly_rollup(panel.join_air(weather, air))
+    return panel.attach_meta(panel.attach_cases(months, cases).drop("cases_source"), meta)
+
+
 def daily_index(master: DataFrame, thresholds=C.TIER_THRESHOLDS, fill_missing_entities: bool = True) -> DataFrame:
     """Fill, clip, lag, scale and score the daily master.
 
@@ -28,8 +39,8 @@ def daily_index(master: DataFrame, thresholds=C.TIER_THRESHOLDS, fill_missing_en
     return index.index_daily(index.scale_all(materialize(lagged, "daily-lagged")), thresholds)
 
 
-def monthly_index(master: DataFrame, thresholds=C.TIER_THRESHOLDS, drop_incomplete: bool = True,
+def monthly_index(months: DataFrame, thresholds=C.TIER_THRESHOLDS, drop_incomplete: bool = True,
                   rounded: bool = True) -> DataFrame:
-    """Roll up to months, build features, score."""
-    features = panel.monthly_features(panel.seasonal_cases(panel.monthly_rollup(master)), drop_incomplete)
+    """Build features on the monthly master and score."""
+    features = panel.monthly_features(panel.seasonal_cases(months), drop_incomplete)
     return index.index_monthly(materialize(features, "monthly-features"), thresholds, rounded)

@@ -131,7 +131,9 @@ class Standins:
     # --- monthly tables
 
     def monthly(self) -> DataFrame:
-        return panel.seasonal_cases(panel.monthly_rollup(self.master()))
+        return panel.seasonal_cases(
+            pipeline.monthly_master(self.weather(), self.air(), self.cases(), self.meta())
+        )
 
     def monthly_table(self) -> DataFrame:
         """The monthly panel written once, for queries that read it several times."""
