@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwatch import constants as C
-from panelwatch.session import materialize
+from panelwatch.session import materialize, small_table
 
 SHORT_LIST = 256
 
@@ -184,11 +184,11 @@ def ring_center(polygons: DataFrame) -> DataFrame:
 
 
 def fixed_boxes(spark) -> DataFrame:
-    return spark.createDataFrame(
-        C.COUNTY_BOXES, "ord int, county string, lat_min double, lat_max double, lon_min double, lon_max double"
+    return small_table(
+        spark, C.COUNTY_BOXES, "ord int, county string, lat_min double, lat_max double, lon_min double, lon_max double"
     )
 
 
 def fixed_centers(spark) -> DataFrame:
     rows = [(i, county, fips, lat, lon) for i, (county, fips, lat, lon) in enumerate(C.COUNTY_META)]
-    return spark.createDataFrame(rows, "ord int, county string, fips string, lat double, lon double")
+    return small_table(spark, rows, "ord int, county string, fips string, lat double, lon double")

@@ -2,36 +2,46 @@
 
 Spark's ``percentile`` buffers all distinct values of a group. Here the value
 range of each group is cut into buckets, only counts per bucket are shuffled,
-and just the buckets that hold a wanted rank are cut again. After the rounds the
-few remaining values are counted by distinct value and the rank is read off.
+and just the buckets that hold a wanted rank are cut again, until few values
+remain. Those are counted by distinct value and the rank is read off.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwatch.session import materialize
+from panelwatch.session import held, materialize, one_row
+
 
+def _bucket(value: Column, lo: Column, hi: Column, buckets: int, first: bool) -> Column:
+    """Bucket number of a value in [lo, hi]; never decreases as the value grows.
 
-def _bucket(value: Column, lo: Column, hi: Column, buckets: int) -> Column:
-    """Bucket number of a value in [lo, hi]; never decreases as the value grows."""
-    scaled = F.floor((value - lo) / (hi - lo) * buckets).cast("long")
-    return F.when(hi > lo, F.least(scaled, F.lit(buckets - 1).cast("long"))).otherwise(F.lit(0).cast("long"))
+    The first cut is logarithmic, so a few far-off values do not leave all others
+    in one bucket; later cuts are even.
+    """
+    def scale(x: Column) -> Column:
+        return F.signum(x) * F.log1p(F.abs(x)) if first else x
+
+    low, high = scale(lo), scale(hi)
+    number = F.floor((scale(value) - low) / (high - low) * buckets).cast("long")
+    return F.when(high > low, F.least(number, F.lit(buckets - 1).cast("long"))).otherwise(F.lit(0).cast("long"))
 
 
 def _wanted_ranks(sized: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
     """0-based lower and upper rank of each probability, one row per rank."""
     spots = F.explode(F.array(*[F.struct(F.lit(p).alias("prob")) for p in probs])).alias("s")
     ranks = sized.select(*keys, "n", "lo", "hi", spots).select(
-        *keys, "lo", "hi", F.col("s.prob").alias("prob"), (F.col("s.prob") * (F.col("n") - 1)).alias("pos"), "n"
+        *keys, "lo", "hi", "n", F.col("s.prob").alias("prob"), (F.col("s.prob") * (F.col("n") - 1)).alias("pos")
     )
     ends = F.explode(F.array(
         F.struct(F.lit("low").alias("side"), F.floor("pos").alias("rank")),
         F.struct(F.lit("high").alias("side"), F.least(F.floor("pos") + 1, F.col("n") - 1).alias("rank")),
     )).alias("e")
-    return ranks.select(*keys, "lo", "hi", "prob", (F.col("pos") - F.floor("pos")).alias("frac"), ends).select(
-        *keys, "lo", "hi", "prob", "frac", F.col("e.side").alias("side"), F.col("e.rank").alias("rank")
+    return ranks.select(*keys, "lo", "hi", "n", "prob", (F.col("pos") - F.floor("pos")).alias("frac"), ends).select(
+        *keys, "lo", "hi", "n", "prob", "frac", F.col("e.side").alias("side"), F.col("e.rank").alias("rank")
     )
 
 
@@ -64,15 +74,15 @@ def _rows_in_open_ranges(rows: DataFrame, wanted: DataFrame, key: list[str], few
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], keys: list[str] | None = None,
-                    buckets: int = 1024, rounds: int = 2, few_keys: bool = False) -> DataFrame:
+                    buckets: int = 1024, max_rows: int = 100_000, few_keys: bool = False) -> DataFrame:
     """``keys..., prob, value`` with linear interpolation between the two nearest ranks.
 
-    ``rounds`` cuts of ``buckets`` each leave about 1 / buckets**rounds of a
-    group's spread in the last step, before equal values are merged. Without
+    Ranges are cut until none holds more than ``max_rows`` rows (or only one
+    value is left), so the last step sorts a bounded number per task. Without
     keys, or with ``few_keys`` (the caller knows the key list is short), the
     ranges enter the plan as constants and the rows are not shuffled at all;
     otherwise the key join follows the table sizes and splits hot keys at run
-    time. ``df`` is read ``rounds + 2`` times: pass a written table.
+    time. ``df`` is read once per cut and twice more: pass a written table.
     """
     few_keys = few_keys or not keys
     keys = list(keys or [])
@@ -80,23 +90,28 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], keys: list[st
     rows = df.select(*keys, *([] if keys else [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("v"))
     rows = rows.filter(F.col("v").isNotNull() & ~F.isnan("v"))
     sized = rows.groupBy(*key).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    wanted = materialize(_wanted_ranks(sized, key, probs), "ranks")
-
-    for _ in range(rounds):
+    keep = held if few_keys else partial(materialize, name="ranks")
+    wanted = keep(_wanted_ranks(sized, key, probs))
+
+    first = True
+    while True:
+        widest = F.max(F.when(F.col("lo") < F.col("hi"), F.col("n"))).alias("widest")
+        if (one_row(wanted.agg(widest))["widest"] or 0) <= max_rows:
+            break
         inside = _rows_in_open_ranges(rows, wanted, key, few_keys)
         counts = (
-            inside.groupBy(*key, "lo", "hi", _bucket(F.col("v"), F.col("lo"), F.col("hi"), buckets).alias("b"))
+            inside.groupBy(*key, "lo", "hi", _bucket(F.col("v"), F.col("lo"), F.col("hi"), buckets, first).alias("b"))
             .agg(F.count("v").alias("c"), F.min("v").alias("blo"), F.max("v").alias("bhi"))
         )
         run = Window.partitionBy(*key, "lo", "hi").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
         upto = counts.withColumn("upto", F.sum("c").over(run))
-        wanted = materialize(
-            wanted.join(upto, [*key, "lo", "hi"])
+        wanted = keep(
+            wanted.drop("n").join(upto, [*key, "lo", "hi"])
             .filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
-            .select(*key, F.col("blo").alias("lo"), F.col("bhi").alias("hi"), "prob", "frac", "side",
-                    (F.col("rank") - (F.col("upto") - F.col("c"))).alias("rank")),
-            "ranks",
+            .select(*key, F.col("blo").alias("lo"), F.col("bhi").alias("hi"), F.col("c").alias("n"), "prob", "frac",
+                    "side", (F.col("rank") - (F.col("upto") - F.col("c"))).alias("rank"))
         )
+        first = False
 
     values = (
         _rows_in_open_ranges(rows, wanted, key, few_keys)

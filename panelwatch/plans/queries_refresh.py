@@ -9,7 +9,7 @@ from panelwatch import constants as C
 from panelwatch.operators import graph, models
 from panelwatch.plans import serving
 from panelwatch.plans.registry import query
-from panelwatch.session import materialize, scratch_path
+from panelwatch.session import materialize, scratch_path, small_table
 from panelwatch.sources.standins import REPORT_NOW, Standins
 from panelwatch.streaming import refresh, reports
 
@@ -31,7 +31,7 @@ def _state(s: Standins) -> DataFrame:
         ("air_quality", "2010-01-01", "2024-01-01 00:00:00", "2024-01-28 00:00:00"),
         ("cases", None, None, None),
     ]
-    return s.spark.createDataFrame(rows, "source string, d string, c string, r string").select(
+    return small_table(s.spark, rows, "source string, d string, c string, r string").select(
         "source", F.col("d").cast("date").alias("last_date"), F.col("c").cast("timestamp").alias("last_check"),
         F.col("r").cast("timestamp").alias("last_run"))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 _LOCAL_DIRS: dict[str, str] = {}
@@ -65,6 +67,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A short fixed table held in the plan itself, with its true size known to the optimizer."""
+    names = StructType.fromDDL(schema).fieldNames()
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    arrow = pa.table({name: list(values) for name, values in zip(names, columns)})
+    return spark.createDataFrame(arrow, schema)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """A result of a few rows, taken once and held in the plan."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
 def one_row(df: DataFrame) -> dict:
     """The single row of an ungrouped aggregate as plain values.
 

@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from panelwatch import constants as C
 from panelwatch.operators import index, panel
 from panelwatch.plans import pipeline
-from panelwatch.session import materialize
+from panelwatch.session import materialize, small_table
 
 # Thresholds at which the derived scores fall into all four tiers.
 STANDIN_THRESHOLDS = (18.0, 22.0, 26.0)
@@ -225,7 +225,7 @@ class Standins:
         return self.table("conversations").filter(F.col("role") == "user").select("conv_id", "turn", "text")
 
     def polygons(self) -> DataFrame:
-        return self.spark.createDataFrame(POLYGON_ROWS, "ord int, name string, type string, coordinates string")
+        return small_table(self.spark, POLYGON_ROWS, "ord int, name string, type string, coordinates string")
 
     # --- payload files
 

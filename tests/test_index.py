@@ -102,7 +102,7 @@ def test_exact_quantiles_on_skewed_groups(spark, few):
     rows += [("cold", rng.gauss(0, 1)) for _ in range(37)] + [("one", 3.5), ("one", None)] + [("tail", 1e12), ("tail", 1.0), ("tail", 2.0)]
     df = spark.createDataFrame(rows, "k string, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
-    got = {(r.k, r.prob): r.value for r in quantiles.exact_quantiles(df, "v", probs, ["k"], buckets=16, few_keys=few).collect()}
+    got = {(r.k, r.prob): r.value for r in quantiles.exact_quantiles(df, "v", probs, ["k"], buckets=16, max_rows=40, few_keys=few).collect()}
     for k in ("hot", "cold", "one", "tail"):
         values = [v for key, v in rows if key == k and v is not None]
         for p in probs:
@@ -112,8 +112,16 @@ def test_exact_quantiles_on_skewed_groups(spark, few):
 def test_exact_quantiles_without_keys(spark):
     values = [float(i * i % 997) for i in range(1001)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    row = quantiles.exact_quantiles(df, "v", [0.5], buckets=8).first()
-    assert row.value == np.median(values)
+    for limit in (10, 100_000):
+        row = quantiles.exact_quantiles(df, "v", [0.5], buckets=8, max_rows=limit).first()
+        assert row.value == np.median(values)
+
+
+def test_exact_quantiles_with_negative_and_far_values(spark):
+    values = [-1e300, -5.0, -5.0, -0.25, 0.0, 1e-9, 2e-9, 7.0, 1e300] + [float(i) for i in range(-50, 50)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r.value for r in quantiles.exact_quantiles(df, "v", [0.1, 0.5, 0.75], buckets=4, max_rows=2).orderBy("prob").collect()]
+    assert got == pytest.approx([np.quantile(values, p) for p in (0.1, 0.5, 0.75)])
 
 
 def test_trend_falls_back_to_the_base_year(spark):
