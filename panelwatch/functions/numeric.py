@@ -24,11 +24,6 @@ def clamped_share(col: Column, lo: Column, hi: Column, missing: float = 0.5) ->
     )
 
 
-def exact_sum(col: Column, scale: int = 6) -> Column:
-    """Sum whose result does not depend on the order rows arrive in."""
-    return F.sum(col.cast(f"decimal(20,{scale})")).cast("double")
-
-
 def nan_to_null(col: Column) -> Column:
     """Model output and pandas hand-over mark missing as NaN; the engine uses null."""
     return F.when(~F.isnan(col), col)

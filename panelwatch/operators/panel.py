@@ -235,14 +235,6 @@ def _position(steps: list, t: str) -> Column:
     return (F.array_position(F.lit(steps), F.col(t)) - 1).cast("long")
 
 
-def step_numbers(df: DataFrame, t: str = "t", name: str = "step") -> DataFrame:
-    """0-based position of each time step among the distinct steps of the data.
-
-    No row passes through an unpartitioned window.
-    """
-    return df.withColumn(name, _position(time_steps(df, t), t))
-
-
 def temporal_split(df: DataFrame, share: float = 0.8, t: str = "t") -> DataFrame:
     """Mark the first ``int(share * n)`` time steps as training, the rest as test.
 

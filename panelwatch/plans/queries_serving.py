@@ -13,8 +13,8 @@ from panelwatch.plans.oracle import r
 from panelwatch.plans.pipeline import daily_index
 from panelwatch.plans.queries_panel import DAILY_EXTRA
 from panelwatch.plans.registry import query
-from panelwatch.session import materialize
-from panelwatch.sources.readers import current_conditions
+from panelwatch.session import materialize, scratch_path
+from panelwatch.sources.readers import current_conditions, read_polygons
 from panelwatch.sources.standins import FORECAST_NOW, STANDIN_INTENTS, Standins
 from panelwatch.streaming import reports as rep
 
@@ -389,7 +389,6 @@ def arr2(s: Standins) -> DataFrame:
               CASE WHEN len(top) > 4 THEN 'live' ELSE 'unavailable' END AS source FROM ({_PAY})""")
 def jsn1(s: Standins) -> DataFrame:
     from panelwatch.sources import schemas
-    from panelwatch.session import scratch_path
 
     top = F.col("daily.wind_speed_10m_max")
     nested = s.weather_payload().select(
@@ -442,7 +441,9 @@ _EDGES = "VALUES " + ", ".join(
            SELECT id, ord, name, ring, count(*) FILTER (((yi > lat) <> (yj > lat)) AND lon < (xj - xi) * (lat - yi) / nullif(yj - yi, 0) + xi) % 2 AS odd
            FROM points, ({_EDGES}) e(ord, name, ring, xi, yi, xj, yj) GROUP BY 1, 2, 3, 4) WHERE odd = 1 GROUP BY id) h USING (id)""")
 def joi9(s: Standins) -> DataFrame:
-    return geo.polygon_lookup(s.points(), geo.polygon_rings(s.polygons()), ["tri", "two"])
+    path = scratch_path(s.spark, "polygons")
+    s.polygons().write.json(path)
+    return geo.polygon_lookup(s.points(), geo.polygon_rings(read_polygons(s.spark, path)), ["tri", "two"])
 
 
 @query("agg19_ring_center", "name:s lat:f6 lon:f6", "points",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwatch import constants as C
 from panelwatch.plans.registry import query
 from panelwatch.session import scratch_path
 from panelwatch.sources import readers, schemas, writers

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwatch import constants as C
 from panelwatch.functions.numeric import half_up, truthy
-from panelwatch.functions.text import literal_map, month_index, month_label, signed_percent, whole_text
+from panelwatch.functions.text import month_index, month_label, signed_percent, whole_text
 from panelwatch.operators.index import legacy_score, optional_column
 from panelwatch.operators.panel import last_rows
 from panelwatch.operators.stats import anomalies, peak_calendar_month, peak_record, trend, yearly_insight
@@ -191,7 +191,3 @@ def chart_series(history: DataFrame) -> DataFrame:
     )
     last = F.max(F.when(F.col("actual").isNotNull(), F.struct("t", "label"))).over(Window.partitionBy("county"))
     return rows.withColumn("cut_label", last["label"])
-
-
-def tier_numbers(level: Column) -> Column:
-    return F.try_element_at(literal_map(C.LEGACY_TIER_SCORES), level)
