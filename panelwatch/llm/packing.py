@@ -32,7 +32,7 @@ from panelwatch.llm.common import written
 CAPACITY = 2048
 SHARD_ROWS = 8192
 #: Words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 3_000_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -44,8 +44,8 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 class WordIds:
     """Token ids of whole texts. The vocabulary drops white space, so a text's ids are those of its words in order.
 
-    Words are cut at ASCII white space only and A-Z lower-cased, both of which the vocabulary does too. Ids are kept by
-    the word's hash in two generations of ``cache_words`` each.
+    Words are cut at ASCII white space only and A-Z lower-cased, both of which the vocabulary does too. The ids of words
+    are kept by the word's hash; beyond ``cache_words`` words the collection starts anew.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -57,9 +57,14 @@ class WordIds:
         self.plain.normalizer = None
         self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.latin = re.compile("[a-zà-öø-ÿ]+")
-        self.cache: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
         self.cache_words = cache_words
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)  # sorted
+        self.first = np.zeros(0, np.int64)  # where the word's ids begin in the table
+        self.size = np.zeros(0, np.int32)
+        self.table = np.zeros(0, np.uint32)
 
     def words(self, asked: list[str]) -> list[bytes]:
         """Ids of words. A last full stop or comma after a letter is a token of its own."""
@@ -73,24 +78,35 @@ class WordIds:
             ids.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(group, coded))
         return [ids[s] if len(s) == len(w) else ids[s] + ids[w[-1]] for w, s in zip(asked, stems)]
 
+    def learn(self, keys: np.ndarray, coded: list[bytes]) -> None:
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        first = len(self.table) + np.cumsum(size) - size
+        self.table = np.concatenate([self.table, np.frombuffer(b"".join(coded), "<u4")])
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.first = np.concatenate([self.first, first])[order]
+        self.size = np.concatenate([self.size, size.astype(np.int32)])[order]
+
     def encode(self, column: pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         data, offsets = textops.raw(column)
         hashes, counts, starts, lengths = textops.word_places(data, offsets, spaces_only=True)
         distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        got = [self.cache.get(k) or self.older.get(k) for k in keys]
-        lost = [i for i, g in enumerate(got) if g is None]
         raw = data.tobytes()
-        asked = [raw[starts[first[i]]:starts[first[i]] + lengths[first[i]]].lower().decode("utf-8", "surrogatepass") for i in lost]
-        if len(self.cache) + len(lost) > self.cache_words:
-            self.cache, self.older = {}, self.cache
-        for i, ids in zip(lost, self.words(asked)):
-            got[i] = self.cache[keys[i]] = ids
-        size = np.array([len(g) for g in got], np.int64) // 4
-        table = np.frombuffer(b"".join(got), "<u4")
-        sizes = size[place]
-        ids = table[textops.ragged((np.cumsum(size) - size)[place], sizes)]
+        new = distinct
+        if len(self.keys):
+            spot = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
+            new = distinct[self.keys[spot] != distinct]
+        if len(self.keys) + len(new) > self.cache_words:
+            self.forget()
+            new = distinct
+        if len(new):
+            at = first[np.searchsorted(distinct, new)]
+            self.learn(new, self.words([raw[a:a + n].lower().decode("utf-8", "surrogatepass") for a, n in zip(starts[at].tolist(), lengths[at].tolist())]))
+        spot = np.searchsorted(self.keys, distinct)[place]
+        sizes = self.size[spot].astype(np.int64)
+        ids = self.table[textops.ragged(self.first[spot], sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
         out = [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
         if b"<|" in raw:  # the vocabulary's special strings are found across any neighbours

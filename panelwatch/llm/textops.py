@@ -63,7 +63,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_table(spaces_only: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Per byte: is it part of a word, and its value after A-Z became a-z.
+    """Per byte: is it part of a word, and the byte after A-Z became a-z.
 
     Words are runs of 0-9, a-z and non-ASCII characters; with ``spaces_only`` runs of anything but the space and
     the characters 9 to 13.
@@ -73,8 +73,7 @@ def word_table(spaces_only: bool) -> tuple[np.ndarray, np.ndarray]:
         member = ~((byte == 32) | ((byte >= 9) & (byte <= 13)))
     else:
         member = ((byte >= 48) & (byte <= 57)) | ((byte >= 65) & (byte <= 90)) | ((byte >= 97) & (byte <= 122)) | (byte >= 128)
-    lower = np.where((byte >= 65) & (byte <= 90), byte + 32, byte)
-    return member, mix((lower + 1).astype(np.uint64) * GOLD)
+    return member, np.where((byte >= 65) & (byte <= 90), byte + 32, byte).astype(np.uint8)
 
 
 def word_hashes(column: pa.Array, spaces_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -88,26 +87,29 @@ def word_places(data: np.ndarray, offsets: np.ndarray, spaces_only: bool = False
     none = np.zeros(0, np.int64)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(texts, np.int64), none, none
-    member, value = word_table(spaces_only)
+    member, lower = word_table(spaces_only)
     inside = member[data]
-    first = inside.copy()
+    first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
-    begins = offsets[:-1][offsets[:-1] < len(data)]
+    last[:-1] &= ~inside[1:]
+    begins = offsets[1:-1]
+    begins = begins[(begins > 0) & (begins < len(data))]
     first[begins] = inside[begins]
+    last[begins - 1] = inside[begins - 1]
     starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(texts, np.int64), none, none
-    index = np.arange(len(data), dtype=np.int64)
-    place = index - np.maximum.accumulate(np.where(first, index, 0))
-    place[~inside] = 0
-    powers = np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, np.uint64)
-    powers[0] = 1
-    powers = np.cumprod(powers, dtype=np.uint64)
-    part = value[data] * powers[place]
-    part[~inside] = 0
-    hashes = mix(np.add.reduceat(part, starts))
-    counts = np.diff(np.searchsorted(starts, offsets))
-    return hashes, counts, starts, np.add.reduceat(inside.astype(np.int64), starts)
+    lengths = np.flatnonzero(last) + 1 - starts
+    # eight bytes at a time, from any place
+    padded = np.concatenate([lower[data], np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    hashes, mask = lengths.astype(np.uint64), np.append(np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8)), np.uint64(0)) - np.uint64(1)
+    rest, done = np.arange(len(starts)), 0
+    while len(rest):
+        part = eight[starts[rest] + done] & mask[np.minimum(lengths[rest] - done, 8)]
+        h = (hashes[rest] ^ part) * GOLD
+        hashes[rest] = h ^ (h >> np.uint64(29))
+        done += 8
+        rest = rest[lengths[rest] > done]
+    return mix(hashes), np.diff(np.searchsorted(starts, offsets)), starts, lengths
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
