@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from panelwatch.llm import decontaminate, language, linededup, neardup, packing
+from panelwatch.llm import decontaminate, language, licenses, linededup, lmscore, neardup, packing, secrets, topk, toxicity
 
 QUERIES = {
+    "op1_exact_top_k": topk.query,
+    "op2_license_scan": licenses.query,
     "op3_line_dedup": linededup.query,
     "op4_best_fit_packing": packing.query,
+    "op5_toxicity": toxicity.query,
+    "op6_secret_scan": secrets.query,
     "op7_language_id": language.query,
     "op8_decontamination": decontaminate.query,
     "op9_near_duplicates": neardup.query,
+    "op10_lm_scores": lmscore.query,
 }
 
 ORACLE_SQL = {
+    "op1_exact_top_k": topk.ORACLE_SQL,
+    "op2_license_scan": licenses.ORACLE_SQL,
     "op3_line_dedup": linededup.ORACLE_SQL,
 }
