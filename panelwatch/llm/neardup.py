@@ -10,7 +10,8 @@ No bucket is expanded into pairs. Exact copies are one node from the start. In e
 with the bucket's hub and with the hub of one of eight random parts of the bucket; hubs are the members that meet most
 others over all their bands, so a text that many variants were made from is found as their hub. Comparisons grow with
 the members, never with their square. Then, round by round, members that are still in another class than the bucket's
-hub are compared with other members of the hub's class, until a round finds nothing or ``rounds`` are over. A pair is
+hub are compared with another member of the hub's class: first in the same buckets, then in finer ones of two bands
+each, where the texts are closer. A pair is
 a link if its exact probability Jaccard or its plain Jaccard similarity reaches ``threshold``; classes are connected
 components of the links.
 
@@ -147,21 +148,38 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verify_task(threshold), "a string, b string, linked boolean")
 
 
-def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """(node, root) of every node with a link: smallest labels spread over links and jump along labels."""
-    both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-                     .select("node", F.least("node", "root").alias("root")), "labels")
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) of every node with a link.
+
+    Each round every node takes the smallest label among its neighbours and that label's own; links are renamed to
+    the labels and those within a label go, so what is left shrinks from round to round.
+    """
+    edges = written(links.select("a", "b").distinct(), "links")
+    roots = None
     while True:
-        spread = (both.join(labels.select(F.col("node").alias("b"), "root"), "b")
-                  .groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near")))
-        nearer = labels.join(spread, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        nearer = written(nearer, "labels")
-        jump = nearer.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        jumped = written(nearer.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root")), "labels")
-        if jumped.filter("old != root").isEmpty():
-            return jumped.select("node", "root")
-        labels = jumped.select("node", "root")
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("near")), "near")
+        onward = near.select(F.col("node").alias("near"), F.col("near").alias("root"))
+        labels = written(near.join(onward, "near").select("node", "root"), "labels")
+        renamed = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        roots = labels if roots is None else written(roots.join(renamed, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+        at_a, at_b = (labels.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+        edges = (edges.join(at_a, "a").join(at_b, "b").filter("root_a != root_b")
+                 .select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())
+        edges = written(edges, "links")
+        if edges.isEmpty():
+            return roots
+
+
+def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes after more links between nodes; only links between different classes are followed."""
+    at_a, at_b = (classes.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    between = (links.select("a", "b").join(at_a, "a", "left").join(at_b, "b", "left")
+               .select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a != b"))
+    moved = components(between)
+    renamed = moved.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    kept = classes.join(renamed, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return written(kept.union(moved.join(classes.select("node"), "node", "left_anti")), "roots")
 
 
 def node_classes(docs: DataFrame, signed: DataFrame, threshold: float = 0.8, rounds: int = 3) -> DataFrame:
@@ -181,7 +199,11 @@ def node_classes(docs: DataFrame, signed: DataFrame, threshold: float = 0.8, rou
     checked = written(verified(pairs, texts, threshold), "checked")
     classes = components(checked.filter("linked"))
     for step in range(rounds):
-        known = buckets.join(classes, "node", "left").select("band", "node", "centrality", F.coalesce("root", "node").alias("root"))
+        groups = buckets
+        if step:  # finer buckets, of two bands each, bring closer texts together
+            wide = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.get("bands", k), F.get("bands", (k + step) % BANDS), k))
+            groups = nodes.join(central, "node").select("node", "centrality", F.explode(wide).alias("band"))
+        known = groups.join(classes, "node", "left").select("band", "node", "centrality", F.coalesce("root", "node").alias("root"))
         hub = known.groupBy("band").agg(F.max(F.struct("centrality", "node", "root"))["root"].alias("main"), F.min("root").alias("low"), F.max("root").alias("high"))
         known = known.join(hub.filter("low != high"), "band")
         turn = F.xxhash64("node", F.lit(step))
@@ -189,11 +211,11 @@ def node_classes(docs: DataFrame, signed: DataFrame, threshold: float = 0.8, rou
         more = undirected(known.filter("root != main").join(other, "band").select(F.col("node").alias("a"), "b"))
         more = written(more.join(checked, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
-            break
+            continue
         again = written(verified(more, texts, threshold), "checked")
         checked = checked.union(again)
         if not again.filter("linked").isEmpty():
-            classes = components(checked.filter("linked"))
+            classes = joined_classes(classes, again.filter("linked"))
     return classes
 
 
