@@ -93,6 +93,9 @@ def kneser_ney(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fit_counts(rows) -> Model:
     """The model from (lang, code, n) rows."""
     langs = sorted({r.lang for r in rows})
+    if not langs:
+        none = np.zeros((0, 0), np.float32)
+        return Model([], np.zeros(0, np.uint64), none, none, none, np.zeros(0), np.zeros(0))
     at = {lang: i for i, lang in enumerate(langs)}
     table = np.zeros((len(langs), CLASSES ** 3), np.int64)
     for r in rows:

@@ -224,7 +224,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_RO
         if moves is None:
             moves = step
         else:
-            onward = step.withColumnsRenamed({"bin": "to", "to": "to2", "by": "by2"})
+            onward = step.select(F.col("bin").alias("to"), F.col("to").alias("to2"), F.col("by").alias("by2"))
             moves = (moves.join(onward, "to", "left").select("bin", F.coalesce("to2", "to").alias("to"), (F.col("by") + F.coalesce("by2", F.lit(0))).alias("by"))
                      .union(step.join(moves.select("bin"), "bin", "left_anti")))
             moves = written(moves, "moves")
