@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def half_up(col: Column, digits: int) -> Column:
-    """Round half up at ``digits`` places, free of binary noise such as 2.67499999."""
-    return F.round(col.cast("decimal(30,10)"), digits).cast("double")
+    """Round half up at ``digits`` places, free of binary noise such as 2.67499999; from 1e20 on as a double."""
+    exact = F.round(col.try_cast("decimal(30,10)"), digits).cast("double")
+    return F.coalesce(exact, F.round(col.cast("double"), digits))
 
 
 def clamp(col: Column, lo, hi) -> Column:

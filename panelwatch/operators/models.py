@@ -57,21 +57,21 @@ def fold_of(key: str, folds: int) -> Column:
 
 
 def leave_out_predict(df: DataFrame, estimator, key: str = "county", features=C.MODEL_FEATURES,
-                      max_folds: int = 32, parallel: int = 4) -> DataFrame:
+                      folds: int | None = None, parallel: int = 4) -> DataFrame:
     """Prediction for every row by a model that never saw the row's entity.
 
-    Up to ``max_folds`` entities each get a fold of their own (leave one out);
-    more entities share that many folds, so the number of fits stays bounded
-    while no entity is ever in its own training set. The scaler is part of each
+    Without ``folds`` every entity is left out by itself, however many there are:
+    one fit an entity. With ``folds`` entities share that many folds, always.
+    The scaler is part of each
     fit, and ``parallel`` fits run at a time. ``df`` should be a written or
     cached table: every fold reads it.
     """
-    entities = [r[0] for r in df.select(key).distinct().limit(max_folds + 1).collect()]
-    if len(entities) <= max_folds:
+    if folds is None:
+        entities = [r[0] for r in df.select(key).distinct().collect()]
         tests = [F.col(key).eqNullSafe(F.lit(e)) for e in sorted(entities, key=str)]
     else:
-        used = [r[0] for r in df.select(fold_of(key, max_folds).alias("fold")).distinct().collect()]
-        tests = [fold_of(key, max_folds) == i for i in sorted(used)]
+        used = [r[0] for r in df.select(fold_of(key, folds).alias("fold")).distinct().collect()]
+        tests = [fold_of(key, folds) == i for i in sorted(used)]
     if len(tests) < 2:
         raise ValueError("leaving one out needs at least two entities")
 

@@ -79,10 +79,10 @@ CTES: dict[str, tuple[list[str], str]] = {
               FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
               GROUP BY 1, 2)"""),
     "cases": ([], """
-        SELECT n_name AS county, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS case_count,
+        SELECT n_name AS county, CAST(CASE WHEN year(o_orderdate) > 2000 THEN 1994 ELSE year(o_orderdate) END AS INTEGER) AS year, count(*) AS case_count,
                'reported' AS cases_source
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-        WHERE year(o_orderdate) <= 2000 GROUP BY 1, 2"""),
+        GROUP BY 1, 2"""),
     "master": (["weather", "air", "cases", "meta"], """
         SELECT w.date, w.county, coalesce(m.fips, '') AS fips, m.lat, m.lon, w.precip_mm, w.soil_moisture_m3m3,
                w.wind_speed_kmh, a.pm10_ugm3, w.tmax_approx_c, coalesce(c.case_count, 0) AS case_count,
@@ -174,7 +174,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     "reports_raw": ([], "SELECT event_id AS id, list_extract([" + ", ".join(f"'{row[0]}'" for row in C.COUNTY_META) + """],
                CAST(user_id % 8 AS INTEGER) + 1) AS county, CAST(event_id % 5 AS INTEGER) AS severity,
                props AS description, CAST(user_id*100 + day(ts) AS VARCHAR) AS reporter_id, ts AS created_at
-        FROM events WHERE event_type = 'error'"""),
+        FROM events"""),
     "reports": (["reports_raw"], "SELECT * REPLACE (greatest(1, least(3, severity)) AS severity) FROM reports_raw"),
     "subscription_requests": ([], """
         SELECT CAST(o_custkey AS VARCHAR) AS phone, n_name AS county,
@@ -187,7 +187,7 @@ CTES: dict[str, tuple[list[str], str]] = {
                                    THEN lower(language) ELSE 'english' END AS language
         FROM (SELECT *, row_number() OVER (PARTITION BY phone, county ORDER BY requested_at DESC, request_id DESC) AS rn
               FROM subscription_requests) WHERE rn = 1"""),
-    "messages": ([], "SELECT conv_id, turn, text FROM conversations WHERE role = 'user'"),
+    "messages": ([], "SELECT conv_id, turn, text FROM conversations"),
     "user_days": ([], """
         SELECT CAST(user_id AS VARCHAR) AS county, CAST(ts AS DATE) AS date,
                CAST(sum(CAST(value AS DECIMAL(14,2))) AS DOUBLE) AS total, max(value) AS top, min(value) AS low

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwatch import constants as C
 from panelwatch.functions import text
+from panelwatch.functions.numeric import half_up
 from panelwatch.operators import geo, graph, models, quality, stats
 from panelwatch.plans import serving
 from panelwatch.plans.oracle import r
@@ -372,7 +373,7 @@ def agg17(s: Standins) -> DataFrame:
 
     week = Window.partitionBy("county").orderBy("date").rowsBetween(-6, 0)
     days = s.weather().withColumn("precip_mm", F.when(F.col("precip_mm") >= 30, F.col("precip_mm")))
-    return days.select("county", "date", text.array_total(F.collect_list("precip_mm").over(week)).alias("week_rain"))
+    return days.select("county", "date", half_up(F.coalesce(F.sum("precip_mm").over(week), F.lit(0.0)), 1).alias("week_rain"))
 
 
 @query("arr2_latest_with_value", "county:s m:d latest:s", "user_days",

@@ -23,10 +23,10 @@ def training(spark, places=4, steps=40):
     return spark.createDataFrame(rows, "county string, t int, x double, z double, monthly_cases double")
 
 
-@pytest.mark.parametrize("max_folds", [8, 2])
-def test_leave_out_predicts_every_row_and_beats_the_mean(spark, max_folds):
+@pytest.mark.parametrize("folds", [None, 2])
+def test_leave_out_predicts_every_row_and_beats_the_mean(spark, folds):
     df = training(spark).cache()
-    out = models.leave_out_predict(df, models.forest(trees=8, depth=5), features=["x", "z"], max_folds=max_folds).collect()
+    out = models.leave_out_predict(df, models.forest(trees=8, depth=5), features=["x", "z"], folds=folds).collect()
     assert len(out) == 160 and len({(r.county, r.t) for r in out}) == 160
     mean = sum(r.monthly_cases for r in out) / len(out)
     mae = sum(abs(r.monthly_cases - r.predicted_cases) for r in out) / len(out)

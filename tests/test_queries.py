@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as entry_point
 import check_queries
+from panelwatch.plans.catalog import REGISTRY
 
 ORACLE = entry_point.oracle_sql()
 MODEL_QUERIES = {"ml2_forest_leave_out", "ml3_boosting_leave_out", "ml4_feature_importance", "ml6_graph_forecast"}
-CHECKED = [n for n in entry_point.queries() if n in ORACLE]
+CHECKED = [n for n in REGISTRY if n in ORACLE]
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +23,8 @@ def test_matches_sql(spark, data, con, name):
 
 
 def test_only_models_and_file_names_lack_sql():
-    assert set(entry_point.queries()) - set(ORACLE) == MODEL_QUERIES | {"hsh1_file_hash"}
+    assert set(REGISTRY) <= set(entry_point.queries())
+    assert set(REGISTRY) - set(ORACLE) == MODEL_QUERIES | {"hsh1_file_hash"}
 
 
 @pytest.mark.parametrize("name", [
