@@ -1,17 +1,18 @@
 """Point-to-area operators: boxes, nearest centres, polygons.
 
-Short area lists (checked by count) become one array constant that is scanned
-per point, so points are never shuffled. Longer lists go through a grid: areas
-and points meet on equal cell numbers, never as all pairs.
+Points are looked up by place: equal coordinates are one lookup, and the result is joined back to all rows that have
+them, so ids may repeat or be null. Null and non-finite coordinates belong to no area. Short area lists (checked by
+count) become one array constant that is scanned per point, so points are never shuffled. Longer lists go through a
+grid with the same results: areas and places meet on equal cell numbers, never as all pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwatch import constants as C
-from panelwatch.session import materialize, small_table
+from panelwatch.session import materialize, one_row, small_table
 
 SHORT_LIST = 256
 
@@ -42,9 +43,22 @@ def _with_point_cell(points: DataFrame, size: float) -> DataFrame:
     return points.withColumn("_cy", _cell(F.col("lat"), size)).withColumn("_cx", _cell(F.col("lon"), size))
 
 
-def box_lookup(points: DataFrame, boxes: DataFrame, id: str = "id", cell: float = 0.5,
-               short_limit: int = SHORT_LIST) -> DataFrame:
-    """``box_county`` of each point: the box with the lowest ``ord`` that holds it, bounds included."""
+def _placed() -> Column:
+    """Both coordinates are known and finite."""
+    return (F.abs("lat") < float("inf")) & (F.abs("lon") < float("inf"))
+
+
+def _spots(points: DataFrame) -> DataFrame:
+    """Each pair of coordinates once."""
+    return points.select("lat", "lon").filter(_placed()).distinct()
+
+
+def _with_found(points: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    return points.join(found.select("lat", "lon", name), ["lat", "lon"], "left").select(*points.columns, name)
+
+
+def box_lookup(points: DataFrame, boxes: DataFrame, cell: float = 0.5, short_limit: int = SHORT_LIST) -> DataFrame:
+    """``box_county`` of each point: the box with the lowest ``ord`` that holds it, bounds included; else null."""
     def holds(b) -> Column:
         return F.col("lat").between(b["lat_min"], b["lat_max"]) & F.col("lon").between(b["lon_min"], b["lon_max"])
 
@@ -52,65 +66,73 @@ def box_lookup(points: DataFrame, boxes: DataFrame, id: str = "id", cell: float
     rows = short_rows(boxes, columns, short_limit)
     if rows:
         return points.withColumn("box_county", F.array_min(F.filter(_as_array(rows, columns), holds))["county"])
-    cells = _with_box_cells(boxes, cell)
-    met = _with_point_cell(points, cell).select(id, "lat", "lon", "_cy", "_cx").join(cells, ["_cy", "_cx"])
-    found = met.filter(holds({c: F.col(c) for c in ("lat_min", "lat_max", "lon_min", "lon_max")})).groupBy(id).agg(
-        F.min_by("county", "ord").alias("box_county")
+    met = _with_point_cell(_spots(points), cell).join(_with_box_cells(boxes.select(*columns), cell), ["_cy", "_cx"])
+    found = met.filter(holds({c: F.col(c) for c in ("lat_min", "lat_max", "lon_min", "lon_max")})).groupBy("lat", "lon").agg(
+        F.min(F.struct("ord", "county"))["county"].alias("box_county")
     )
-    return points.join(found, id, "left")
+    return _with_found(points, found, "box_county")
 
 
-def nearest_center(points: DataFrame, centers: DataFrame, id: str = "id", cell: float = 0.25,
-                   short_limit: int = SHORT_LIST) -> DataFrame:
+def nearest_center(points: DataFrame, centers: DataFrame, cell: float = 0.25, short_limit: int = SHORT_LIST) -> DataFrame:
     """``near_county`` of each point: smallest squared degree distance, lowest ``ord`` on ties."""
     def squared(c) -> Column:
         return (F.col("lat") - c["lat"]) * (F.col("lat") - c["lat"]) + (F.col("lon") - c["lon"]) * (F.col("lon") - c["lon"])
 
     columns = ["ord", "county", "lat", "lon"]
-    rows = short_rows(centers, columns, short_limit)
+    placed = centers.filter(_placed())
+    rows = short_rows(placed, columns, short_limit)
     if rows:
         best = F.array_min(F.transform(_as_array(rows, columns), lambda c: F.struct(
             squared(c).alias("d"), c["ord"].alias("ord"), c["county"].alias("county")
         )))
-        return points.withColumn("near_county", best["county"])
-    return points.join(_nearest_by_grid(points.select(id, "lat", "lon"), centers, id, cell), id, "left")
+        return points.withColumn("near_county", F.when(_placed(), best["county"]))
+    return _with_found(points, _nearest_by_grid(_spots(points), placed, cell), "near_county")
 
 
-def _nearest_by_grid(points: DataFrame, centers: DataFrame, id: str, cell: float) -> DataFrame:
-    """Nearest centre by growing cells.
+def _nearest_by_grid(spots: DataFrame, centers: DataFrame, cell: float) -> DataFrame:
+    """Nearest centre of each place by a descent through coarser to finer cells, each 4 x 4 of the next.
 
-    A centre outside the 3 x 3 block around a point is at least one cell away, so
-    a hit within one cell width is final; the other points go on with cells twice
-    as wide. Cells as wide as the globe settle what is left.
+    A cell knows the bounds of the centres in it, so the distance of its nearest centre lies between two values. On
+    each level a place keeps the cells that can still win, and only those are opened: a far-off place meets few cells,
+    never all centres.
     """
-    centers = centers.select(F.col("ord"), F.col("county"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))
-    offsets = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
-    open_points, settled = points, None
-    while True:
-        last = cell >= 360.0
-        spread = (
-            centers.withColumn("_cy", F.explode(F.transform(offsets, lambda o: _cell(F.col("clat"), cell) + o)))
-            .withColumn("_cx", F.explode(F.transform(offsets, lambda o: _cell(F.col("clon"), cell) + o)))
-        )
-        dlat, dlon = F.col("lat") - F.col("clat"), F.col("lon") - F.col("clon")
-        met = _with_point_cell(open_points, cell).join(spread, ["_cy", "_cx"], "left")
-        best = materialize(
-            met.groupBy(id, "lat", "lon").agg(F.min(F.when(F.col("ord").isNotNull(), F.struct(
-                (dlat * dlat + dlon * dlon).alias("d"), "ord", "county"
-            ))).alias("b")), "nearest",
-        )
-        final = F.lit(True) if last else F.coalesce(F.col("b.d") <= cell * cell, F.lit(False))
-        done = best.filter(final).select(id, F.col("b.county").alias("near_county"))
-        settled = done if settled is None else settled.unionByName(done)
-        open_points = best.filter(~final).select(id, "lat", "lon")
-        if last or open_points.isEmpty():
-            return settled
-        cell *= 2
-
-
-def locate(points: DataFrame, boxes: DataFrame, centers: DataFrame, id: str = "id") -> DataFrame:
+    leaf = materialize(
+        centers.groupBy("lat", "lon").agg(F.min(F.struct("ord", "county")).alias("first"))
+        .select(F.col("lat").alias("clat"), F.col("lon").alias("clon"), "first",
+                _cell(F.col("lat"), cell).alias("_cy"), _cell(F.col("lon"), cell).alias("_cx")), "centers",
+    )
+    reach = one_row(leaf.agg(F.max(F.greatest(F.abs("clat"), F.abs("clon"))).alias("reach")))["reach"]
+    level, width = 0, cell
+    while reach is not None and width <= reach:  # at the top only the cells -1 and 0 are used
+        level, width = level + 1, width * 4
+
+    def up(axis: str, levels: int) -> Column:
+        return F.shiftright(axis, 2 * levels)
+
+    corners = F.array(F.lit(-1).cast("long"), F.lit(0).cast("long"))
+    kept = spots.withColumn("_py", F.explode(corners)).withColumn("_px", F.explode(corners))
+    place = Window.partitionBy("lat", "lon")
+    for k in range(level, -1, -1):
+        boxes = leaf.groupBy(up("_cy", k).alias("_cy"), up("_cx", k).alias("_cx")).agg(
+            F.min("clat").alias("y0"), F.max("clat").alias("y1"), F.min("clon").alias("x0"), F.max("clon").alias("x1")
+        ).withColumn("_py", up("_cy", 1)).withColumn("_px", up("_cx", 1))
+        met = kept.join(boxes, ["_py", "_px"])
+        near = [F.greatest(F.col(lo) - F.col(v), F.col(v) - F.col(hi), F.lit(0.0)) for v, lo, hi in (("lat", "y0", "y1"), ("lon", "x0", "x1"))]
+        far = [F.greatest(F.abs(F.col(lo) - F.col(v)), F.abs(F.col(v) - F.col(hi))) for v, lo, hi in (("lat", "y0", "y1"), ("lon", "x0", "x1"))]
+        bound = F.min(far[0] * far[0] + far[1] * far[1]).over(place)
+        # the small margin keeps cells whose bounds differ by rounding only
+        open_cells = met.withColumn("_near", near[0] * near[0] + near[1] * near[1]).withColumn("_bound", bound)
+        kept = open_cells.filter(F.col("_near") <= F.col("_bound") * (1 + 1e-9)).select(
+            "lat", "lon", F.col("_cy").alias("_py"), F.col("_cx").alias("_px"))
+    dlat, dlon = F.col("lat") - F.col("clat"), F.col("lon") - F.col("clon")
+    hits = kept.withColumnsRenamed({"_py": "_cy", "_px": "_cx"}).join(leaf, ["_cy", "_cx"])
+    best = F.min(F.struct((dlat * dlat + dlon * dlon).alias("d"), F.col("first.ord").alias("ord"), F.col("first.county").alias("county")))
+    return hits.groupBy("lat", "lon").agg(best["county"].alias("near_county"))
+
+
+def locate(points: DataFrame, boxes: DataFrame, centers: DataFrame) -> DataFrame:
     """Place of each point: its box, else the nearest centre."""
-    found = nearest_center(box_lookup(points, boxes, id), centers, id)
+    found = nearest_center(box_lookup(points, boxes), centers)
     return found.withColumn("county", F.coalesce("box_county", "near_county"))
 
 
@@ -142,12 +164,12 @@ def _crossed(edge: Column, lon: Column, lat: Column) -> Column:
     return ((edge["yi"] > lat) != (edge["yj"] > lat)) & (lon < at)
 
 
-def polygon_lookup(points: DataFrame, polygons: DataFrame, tracked: list[str] | None = None, id: str = "id",
-                   cell: float = 0.5) -> DataFrame:
+def polygon_lookup(points: DataFrame, polygons: DataFrame, tracked: list[str] | None = None, cell: float = 0.5) -> DataFrame:
     """First polygon (lowest ``ord``) with any ring around the point, by ray casting.
 
-    Polygons enter the grid by bounding box; only points in a shared cell and
-    inside the box are tested. ``status`` is ``in-range`` for tracked names.
+    Polygons enter the grid by bounding box, and a cell takes only the edges that
+    reach its band of latitudes: no other edge can be crossed there. Only places in
+    a shared cell and inside the box are tested. ``status`` is ``in-range`` for tracked names.
     """
     flat = F.flatten("rings")
     shapes = polygons.select(
@@ -157,16 +179,20 @@ def polygon_lookup(points: DataFrame, polygons: DataFrame, tracked: list[str] |
         F.array_min(F.transform(flat, lambda p: p[0])).alias("lon_min"),
         F.array_max(F.transform(flat, lambda p: p[0])).alias("lon_max"),
     )
-    met = _with_point_cell(points, cell).join(_with_box_cells(shapes, cell), ["_cy", "_cx"])
+    low, high = (F.col("_cy") - 1e-6) * cell, (F.col("_cy") + 1 + 1e-6) * cell
+    cells = _with_box_cells(shapes, cell).withColumn("_ring_edges", F.transform("_ring_edges", lambda edges: F.filter(
+        edges, lambda e: (F.greatest(e["yi"], e["yj"]) >= low) & (F.least(e["yi"], e["yj"]) <= high)
+    )))
+    met = _with_point_cell(_spots(points), cell).join(cells, ["_cy", "_cx"])
     inside = F.exists("_ring_edges", lambda edges: F.size(
         F.filter(edges, lambda e: _crossed(e, F.col("lon"), F.col("lat")))
     ) % 2 == 1)
     found = (
         met.filter(F.col("lat").between(F.col("lat_min"), F.col("lat_max"))
                    & F.col("lon").between(F.col("lon_min"), F.col("lon_max")))
-        .filter(inside).groupBy(id).agg(F.min_by("name", "ord").alias("area"))
+        .filter(inside).groupBy("lat", "lon").agg(F.min(F.struct("ord", "name"))["name"].alias("area"))
     )
-    out = points.join(found, id, "left")
+    out = _with_found(points, found, "area")
     known = F.col("area").isNotNull() if tracked is None else F.coalesce(F.col("area").isin(tracked), F.lit(False))
     return out.withColumn("status", F.when(known, F.lit("in-range")).otherwise(F.lit("out-of-range"))).withColumn(
         "county", F.when(known, F.col("area"))

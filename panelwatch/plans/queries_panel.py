@@ -9,7 +9,7 @@ from panelwatch import constants as C
 from panelwatch.functions.numeric import half_up
 from panelwatch.functions.text import month_label
 from panelwatch.operators import index, panel, quantiles, stats
-from panelwatch.plans import pipeline
+from panelwatch.plans import pipeline, serving
 from panelwatch.plans.oracle import clamp_share, r, tier_case
 from panelwatch.plans.registry import query
 from panelwatch.session import materialize
@@ -48,8 +48,7 @@ def joi3(s: Standins) -> DataFrame:
        "SELECT e.county, e.year, e.month, e.precip_mm, p.risk_score, p.gpot, p.erisk FROM env e "
        "LEFT JOIN predictions p USING (county, year, month)")
 def joi4(s: Standins) -> DataFrame:
-    index_rows = s.predictions().select("county", "year", "month", "risk_score", "gpot", "erisk")
-    return s.env().join(index_rows, ["county", "year", "month"], "left")
+    return s.env().join(serving.index_rows(s.predictions()), ["county", "year", "month"], "left")
 
 
 @query("joi5_tracked_only", "county:s date:d pm10_ugm3:f6", "air",

@@ -87,15 +87,16 @@ def forecast(predictions: DataFrame, case_predictions: DataFrame, year: int, mon
     return first.unionByName(second, allowMissingColumns=True)
 
 
+def index_rows(predictions: DataFrame) -> DataFrame:
+    """Index values of each place and month, once: of repeated rows the one with the smallest values in column order."""
+    values = F.struct(*[optional_column(predictions, c).alias(c) for c in ("risk_score", "gpot", "erisk")])
+    return predictions.groupBy("county", "year", "month").agg(F.min(values).alias("_v")).select("county", "year", "month", "_v.*")
+
+
 def env_history(env: DataFrame, predictions: DataFrame, months: int = 24) -> DataFrame:
     """Last months of environment per place with the matching index values."""
     recent = last_rows(env, months, ["county"], ["year", "month"])
-    score = optional_column(predictions, "risk_score")
-    matched = predictions.groupBy("county", "year", "month").agg(
-        F.first(score).alias("risk_score"), F.first(optional_column(predictions, "gpot")).alias("gpot"),
-        F.first(optional_column(predictions, "erisk")).alias("erisk"),
-    )
-    return recent.join(matched, ["county", "year", "month"], "left").select(
+    return recent.join(index_rows(predictions), ["county", "year", "month"], "left").select(
         "county", "year", "month", month_label(F.col("year"), F.col("month")).alias("label"),
         half_up(F.col("precip_mm"), 2).alias("precip_mm"), half_up(F.col("soil_moisture"), 4).alias("soil_moisture"),
         half_up(F.col("wind_speed"), 1).alias("wind_speed"), half_up(F.col("pm10"), 1).alias("pm10"),
@@ -140,7 +141,7 @@ def risk_at(points: DataFrame, boxes: DataFrame, centers: DataFrame, latest: Dat
     """Current risk at each point."""
     from panelwatch.operators.geo import locate
 
-    place = locate(points, boxes, centers, id).select(id, "county")
+    place = locate(points, boxes, centers).select(id, "county")
     return place.join(latest, "county", "left")
 
 

@@ -54,6 +54,32 @@ def test_nearest_center_ties_take_the_first(spark, limit):
     assert got == {1: "a", 2: "b"}
 
 
+@pytest.mark.parametrize("limit", [geo.SHORT_LIST, 0])
+def test_null_and_repeated_points(spark, limit):
+    points = spark.createDataFrame(
+        [(1, 36.7, -119.8), (1, 35.3, -119.0), (2, None, -119.8), (None, 36.7, -119.8), (3, float("nan"), 1.0), (3, 36.7, None)], POINTS)
+    found = geo.nearest_center(geo.box_lookup(points, geo.fixed_boxes(spark), short_limit=limit), geo.fixed_centers(spark), short_limit=limit)
+    assert found.columns == ["id", "lat", "lon", "box_county", "near_county"]
+    centers = [(i, county, lat, lon) for i, (county, _, lat, lon) in enumerate(C.COUNTY_META)]
+    known = [(i, brute_box(y, x), brute_near(y, x, centers)) for i, y, x in ((1, 36.7, -119.8), (1, 35.3, -119.0), (None, 36.7, -119.8))]
+    got = [(r.id, r.box_county, r.near_county) for r in found.collect()]
+    assert sorted(got, key=str) == sorted(known + [(2, None, None), (3, None, None), (3, None, None)], key=str)
+
+
+def test_nearest_of_many_centers_from_far_off(spark):
+    rng = random.Random(11)
+    centers = [(i, f"c{i}", round(rng.uniform(-60, 60), 1), round(rng.gauss(20, 15), 1)) for i in range(600)]
+    points = [(i, round(rng.uniform(-90, 90), 1), round(rng.uniform(-180, 180), 1)) for i in range(150)] + [(150, 5000.0, -9000.0)]
+    df = geo.nearest_center(spark.createDataFrame(points, POINTS), spark.createDataFrame(centers, "ord int, county string, lat double, lon double"))
+    assert {r.id: r.near_county for r in df.collect()} == {i: brute_near(y, x, centers) for i, y, x in points}
+
+
+def test_no_centers_or_boxes(spark):
+    points = spark.createDataFrame([(1, 36.7, -119.8)], POINTS)
+    found = geo.locate(points, geo.fixed_boxes(spark).limit(0), geo.fixed_centers(spark).limit(0))
+    assert [tuple(r) for r in found.collect()] == [(1, 36.7, -119.8, None, None, None)]
+
+
 def inside(px, py, ring):
     odd, j = False, len(ring) - 1
     for i, (xi, yi) in enumerate(ring):
