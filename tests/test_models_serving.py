@@ -113,3 +113,13 @@ def test_checks_report_missing_rows_and_scale(spark):
     assert present == {"cases_present:Kern:2023": False, "cases_present:Kern:2024": True}
     flag = quality.passed(quality.validate(df, 1, (2024,), ("Kern", 2024, 10), ["case_count"])).first()
     assert flag.passed and flag.issues == 0
+
+
+def test_repeated_index_rows_take_one_match(spark):
+    from panelwatch.plans.serving import index_rows
+
+    rows = [("a", 2001, 1, 5.0, 0.2, None), ("a", 2001, 1, 3.0, 0.9, 0.1), ("a", 2001, 1, 5.0, 0.2, None), ("a", 2001, 2, None, None, None)]
+    schema = "county string, year int, month int, risk_score double, gpot double, erisk double"
+    for order in (rows, rows[::-1]):
+        got = sorted(tuple(r) for r in index_rows(spark.createDataFrame(order, schema)).collect())
+        assert got == [("a", 2001, 1, 3.0, 0.9, 0.1), ("a", 2001, 2, None, None, None)]
