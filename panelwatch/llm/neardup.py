@@ -6,13 +6,15 @@ a shingle stops as soon as its next arrival comes after every register's earlies
 register with the probability Jaccard similarity of the sets. 16 bands of 4 registers make buckets: a pair at 0.8
 meets in one with probability 0.9998.
 
-No bucket is expanded into pairs. Exact copies are one node from the start. In each bucket every member is compared
+Exact copies are one node from the start. In each bucket every member is compared
 with the bucket's hub and with the hub of one of eight random parts of the bucket; hubs are the members that meet most
-others over all their bands, so a text that many variants were made from is found as their hub. Comparisons grow with
-the members, never with their square. Then, round by round, members that are still in another class than the bucket's
-hub are compared with another member of the hub's class: first in the same buckets, then in finer ones of two bands
-each, where the texts are closer. A pair is
-a link if its exact probability Jaccard or its plain Jaccard similarity reaches ``threshold``; classes are connected
+others over all their bands, so a text that many variants were made from is found as their hub. These comparisons grow
+with the members, not with their square. Then, round by round, members that are still in another class than the
+bucket's hub are compared with another member of the hub's class: first in the same buckets, then in finer ones of two
+bands each, where the texts are closer. That only makes the classes large cheaply. At last every pair of a bucket that
+is still in two classes is compared (``open_links``): the members outside the bucket's largest class with all its
+members, in blocks of bounded size, so no pair that shares a bucket stays untested unless links already join it. A pair
+is a link if its exact probability Jaccard or its plain Jaccard similarity reaches ``threshold``; classes are connected
 components of the links.
 
 Defined results: a null text is a class of its own row (class_id = doc_id) and so are texts that nothing resembles;
@@ -36,6 +38,9 @@ BANDS = 16
 BAND_ROWS = 4
 REGISTERS = BANDS * BAND_ROWS
 PARTS = 8
+#: Members and text bytes of one side of a block of pairs.
+BLOCK = 256
+BLOCK_BYTES = 4 << 20
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -101,6 +106,15 @@ def probability_jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return float((1 / (left[upto] / x[both] + right[upto] / y[both])).sum())
 
 
+def aligned_probability(grams_x: np.ndarray, x: np.ndarray, grams_y: np.ndarray, y: np.ndarray) -> float:
+    """Probability Jaccard of two texts, each given by its sorted grams and their counts."""
+    grams = np.union1d(grams_x, grams_y)
+    full = np.zeros((2, len(grams)))
+    full[0, np.searchsorted(grams, grams_x)] = x / x.sum()
+    full[1, np.searchsorted(grams, grams_y)] = y / y.sum()
+    return probability_jaccard(*full)
+
+
 def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
     """The larger of plain and probability Jaccard for each pair of texts."""
     n = len(left)
@@ -115,11 +129,7 @@ def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
     starts = [row_starts(s[0], n) for s in sides]
     for i in np.flatnonzero(((heavy[0] + heavy[1]) > 0) & (shared > 0)):
         cut = [slice(s[i], s[i + 1]) for s in starts]
-        grams = np.union1d(sides[0][1][cut[0]], sides[1][1][cut[1]])
-        x, y = np.zeros(len(grams)), np.zeros(len(grams))
-        x[np.searchsorted(grams, sides[0][1][cut[0]])] = sides[0][2][cut[0]]
-        y[np.searchsorted(grams, sides[1][1][cut[1]])] = sides[1][2][cut[1]]
-        out[i] = max(out[i], probability_jaccard(x / x.sum(), y / y.sum()))
+        out[i] = max(out[i], aligned_probability(*(s[k][c] for s, c in zip(sides, cut) for k in (1, 2))))
     return out
 
 
@@ -182,6 +192,89 @@ def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
     return written(kept.union(moved.join(classes.select("node"), "node", "left_anti")), "roots")
 
 
+def open_blocks(known: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Blocks (band, l, r) of the members outside a bucket's largest class (side 0) beside all members (side 1).
+
+    Buckets of two are left out: their pair has met as member and hub.
+    """
+    sized = written(known.join(texts.select("node", F.octet_length("text").alias("bytes")), "node"), "known")
+    by_class = sized.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    per = by_class.groupBy("band").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"),
+                                       F.max(F.struct("n", "root", "bytes")).alias("main")).filter("classes > 1 AND n > 2")
+
+    def blocks(n, size):
+        return F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+    per = per.select("band", F.col("main.root").alias("main"), blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("ls"),
+                     blocks(F.col("n"), F.col("bytes")).alias("rs"))
+    rows = sized.join(per, "band")
+    deal = F.xxhash64("band", "node")
+    left = rows.filter("root != main").select(
+        "band", "node", "root", "main", F.lit(0).alias("side"), F.pmod(deal, "ls").cast("int").alias("l"), F.explode(F.sequence(F.lit(0), F.col("rs") - 1)).alias("r"))
+    right = rows.select(
+        "band", "node", "root", "main", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("ls") - 1)).alias("l"), F.pmod(deal, "rs").cast("int").alias("r"))
+    return left.unionByName(right).join(nodes, "node").join(texts, "node")
+
+
+def open_links(known: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that join classes which share a bucket; every pair of two classes in it is compared."""
+    return open_blocks(known, nodes, texts).groupBy("band", "l", "r").applyInArrow(open_task(threshold), "a string, b string")
+
+
+def open_task(threshold):
+    """Links between a block's left and right members of different classes; one link at most for two classes to join."""
+    least = threshold - 1e-12
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        right = table.column("side").to_numpy()
+        lefts, rights = np.flatnonzero(right == 0), np.flatnonzero(right == 1)
+        names = table.column("node").to_numpy(zero_copy_only=False)
+        found: list[tuple[str, str]] = []
+        if len(lefts) and len(rights):
+            band = table.column("band")[0].as_py()
+            bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(len(names), -1, BANDS)
+            node = np.unique(names, return_inverse=True)[1]
+            roots = table.column("root").to_numpy(zero_copy_only=False)
+            kind = np.unique(roots, return_inverse=True)[1]
+            label = np.arange(kind.max() + 1)
+            main = roots[rights] == table.column("main")[0].as_py()
+            rows, grams, weights = textops.weighted_grams(*textops.word_hashes(pa.concat_arrays(table.column("text").chunks)), WIDTH)
+            distinct, ids = np.unique(grams, return_inverse=True)
+            sizes, starts = np.bincount(rows, minlength=len(names)), row_starts(rows, len(names))
+            share = weights / np.bincount(rows, weights=weights, minlength=len(names))[rows]
+            heavy = np.bincount(rows, weights=weights > 1, minlength=len(names)) > 0
+            mark = np.zeros(len(distinct))
+            for i in lefts:
+                others = rights[(label[kind[rights]] != label[kind[i]]) & (main | (node[rights] > node[i]))]
+                # a pair is compared in one of the buckets it shares
+                alike = bands[others][:, :, None] == bands[i][None, None]
+                meet = np.where(alike, bands[i][None, None], np.iinfo(np.int64).max)
+                others = others[meet.min((1, 2, 3)) == band]
+                if not len(others):
+                    continue
+                own = slice(starts[i], starts[i + 1])
+                at = textops.ragged(starts[others], sizes[others])
+                slot = np.repeat(np.arange(len(others)), sizes[others])
+                mark[ids[own]] = share[own]
+                met = mark[ids[at]]
+                mark[ids[own]] = 0
+                shared = np.bincount(slot, weights=met > 0, minlength=len(others))
+                good = shared / (sizes[i] + sizes[others] - shared) >= least
+                # no probability Jaccard exceeds the common mass
+                mass = np.bincount(slot, weights=np.minimum(met, share[at]), minlength=len(others))
+                maybe = ~good & (heavy[i] | heavy[others]) & (mass >= least - 1e-9)
+                for j, sure in [*((j, True) for j in others[good]), *((j, False) for j in others[maybe])]:
+                    if label[kind[i]] == label[kind[j]]:
+                        continue
+                    other = slice(starts[j], starts[j + 1])
+                    if sure or aligned_probability(grams[own], weights[own], grams[other], weights[other]) >= least:
+                        found.append((names[i], names[j]))
+                        label[label == label[kind[j]]] = label[kind[i]]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.string()), "b": pa.array([b for _, b in found], pa.string())})
+    return run
+
+
 def node_classes(docs: DataFrame, signed: DataFrame, threshold: float = 0.8, rounds: int = 3) -> DataFrame:
     """(node, root) of the nodes that are linked to another node."""
     nodes = signed.filter(F.size("bands") > 0).groupBy("node").agg(F.min("bands").alias("bands"))
@@ -216,7 +309,9 @@ def node_classes(docs: DataFrame, signed: DataFrame, threshold: float = 0.8, rou
         checked = checked.union(again)
         if not again.filter("linked").isEmpty():
             classes = joined_classes(classes, again.filter("linked"))
-    return classes
+    known = buckets.join(classes, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    links = written(open_links(known, nodes, texts, threshold), "open")
+    return classes if links.isEmpty() else joined_classes(classes, links)
 
 
 def classify(docs: DataFrame, threshold: float = 0.8, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
