@@ -4,7 +4,8 @@ A text is a weighted set: its five-word shingles with their counts. Each shingle
 at a rate equal to its weight, to random registers; the earliest arrival at each of 64 registers is the signature, and
 a shingle stops as soon as its next arrival comes after every register's earliest one. Two signatures agree in a
 register with the probability Jaccard similarity of the sets. 16 bands of 4 registers make buckets: a pair at 0.8
-meets in one with probability 0.9998.
+meets in one with probability 0.9998. A second signature with all weights 1 gives 16 more bands in the same buckets, so
+that the same holds for plain Jaccard, whatever a text repeats.
 
 Exact copies are one node from the start. In each bucket every member is compared
 with the bucket's hub and with the hub of one of eight random parts of the bucket; hubs are the members that meet most
@@ -65,18 +66,28 @@ def prob_minhash(rows: np.ndarray, grams: np.ndarray, weights: np.ndarray, texts
     return winner.reshape(texts, m)
 
 
+def band_hashes(sig: np.ndarray) -> np.ndarray:
+    odd = np.uint64(0xD6E8FEB86659FD93)
+    bands = np.zeros((len(sig), BANDS), np.uint64)
+    for k in range(BAND_ROWS):
+        bands = bands * odd + sig[:, k::BAND_ROWS]
+    return textops.mix(bands + np.arange(BANDS, dtype=np.uint64) * textops.GOLD)
+
+
 def signature_task(batches):
     for part in textops.slices(batches, "text"):
         hashes, counts = textops.word_hashes(part.column("text"))
         rows, grams, weights = textops.weighted_grams(hashes, counts, WIDTH)
-        sig = prob_minhash(rows, grams, weights, part.num_rows)
-        odd = np.uint64(0xD6E8FEB86659FD93)
-        bands = np.zeros((part.num_rows, BANDS), np.uint64)
-        for k in range(BAND_ROWS):
-            bands = bands * odd + sig[:, k::BAND_ROWS]
-        bands = textops.mix(bands + np.arange(BANDS, dtype=np.uint64) * textops.GOLD)
+        weighted = band_hashes(prob_minhash(rows, grams, weights, part.num_rows))
+        plain = weighted.copy()
+        again = np.bincount(rows, weights=weights > 1, minlength=part.num_rows) > 0
+        if again.any():
+            of = again[rows]
+            place = np.cumsum(again) - 1
+            plain[again] = band_hashes(prob_minhash(place[rows[of]], grams[of], np.ones(int(of.sum())), int(again.sum())))
+        bands = np.concatenate([weighted, plain], axis=1)
         some = counts > 0
-        offsets = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
+        offsets = np.concatenate([[0], np.cumsum(some * 2 * BANDS)]).astype(np.int32)
         values = pa.array(bands[some].ravel().view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [part.column("doc_id"), part.column("node"), pa.ListArray.from_arrays(pa.array(offsets), values)],
@@ -84,7 +95,10 @@ def signature_task(batches):
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, bands) of every row with a text; node is the hash of the text, alike for exact copies."""
+    """(doc_id, node, bands) of every row with a text; node is the hash of the text, alike for exact copies.
+
+    First the bands of the counts, then those of weights 1; they agree for a text that repeats no shingle.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.filter(F.col("text").isNotNull()).select("doc_id", F.md5(F.col("text").cast("binary")).alias("node"), "text")
     return rows.mapInArrow(signature_task, f"doc_id {kind}, node string, bands array<bigint>")
@@ -278,7 +292,7 @@ def open_task(threshold):
 def node_classes(docs: DataFrame, signed: DataFrame, threshold: float = 0.8, rounds: int = 3) -> DataFrame:
     """(node, root) of the nodes that are linked to another node."""
     nodes = signed.filter(F.size("bands") > 0).groupBy("node").agg(F.min("bands").alias("bands"))
-    member = nodes.select("node", F.explode("bands").alias("band"))
+    member = nodes.select("node", F.explode(F.array_distinct("bands")).alias("band"))
     full = member.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     shared = written(member.join(full, "band"), "members")
     central = shared.groupBy("node").agg(F.sum("size").alias("centrality"))
@@ -294,8 +308,9 @@ def node_classes(docs: DataFrame, signed: DataFrame, threshold: float = 0.8, rou
     for step in range(rounds):
         groups = buckets
         if step:  # finer buckets, of two bands each, bring closer texts together
-            wide = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.get("bands", k), F.get("bands", (k + step) % BANDS), k))
-            groups = nodes.join(central, "node").select("node", "centrality", F.explode(wide).alias("band"))
+            wide = F.transform(F.sequence(F.lit(0), F.lit(2 * BANDS - 1)), lambda k: F.xxhash64(
+                F.get("bands", k), F.get("bands", k - k % BANDS + (k + step) % BANDS), k % BANDS))
+            groups = nodes.join(central, "node").select("node", "centrality", F.explode(F.array_distinct(wide)).alias("band"))
         known = groups.join(classes, "node", "left").select("band", "node", "centrality", F.coalesce("root", "node").alias("root"))
         hub = known.groupBy("band").agg(F.max(F.struct("centrality", "node", "root"))["root"].alias("main"), F.min("root").alias("low"), F.max("root").alias("high"))
         known = known.join(hub.filter("low != high"), "band")

@@ -41,3 +41,21 @@ def test_large_group_close_to_the_threshold(spark, changes):
     rows = variants(1200, changes, 11)
     classes, _ = neardup.classify(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     assert {x.doc_id: x.class_id for x in classes.collect()} == linked_classes(rows)
+
+
+def test_twins_that_repeat_a_passage(spark):
+    rows, twins = [], 40
+    for i in range(twins):
+        own = [f"d{i}w{k}" for k in range(300)]
+        loop = " ".join(own[:24])
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*[loop] * 100, *own[24:]]))]
+    classes, _ = neardup.classify(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {x.doc_id: x.class_id for x in classes.collect()} == {d: d - d % 2 for d, _ in rows}
+
+
+def test_signatures_of_counts_and_of_plain_sets(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(0, text), (1, f"{text} {' '.join(text.split()[:12] * 50)}"), (2, None), (3, "")]
+    bands = {x.doc_id: x.bands for x in neardup.signatures(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert bands[0][:neardup.BANDS] == bands[0][neardup.BANDS:] and bands[1][:neardup.BANDS] != bands[1][neardup.BANDS:]
+    assert bands[3] == [] and 2 not in bands
