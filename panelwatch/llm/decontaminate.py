@@ -2,9 +2,9 @@
 
 A seed is the hash of the words that a fixed mask selects from a window; the words under its gaps may differ. Seeds of
 the benchmark and of the documents are joined, each hit names a document, an item and the diagonal on which they line
-up, and the words along that diagonal are compared: the best run, where an equal word counts 1 and a different word
-``-MISMATCH``, is a leak if at least ``min_share`` of its words are equal and it has at least ``min_words`` words (or
-is the whole item, for shorter items of at least five words).
+up, and the words along that diagonal are compared: a run is a leak if at least ``min_share`` of its words are equal
+and it has at least ``min_words`` words (or is the whole item, for shorter items of at least five words). Every run of
+the diagonal is looked at, by sums up to each place.
 
 Before the join the seeds of a document pass a bitmap of fixed size (2 MB) that holds the benchmark's seeds; it only
 keeps rows out of the shuffle that cannot meet anything. It is built by a distributed OR and is the only thing that
@@ -92,7 +92,7 @@ def bitmap_of(item_seeds: DataFrame) -> np.ndarray:
 
 
 def best_run(equal: np.ndarray) -> tuple[int, int]:
-    """Start and end of the run with the highest score; it begins and ends with an equal word."""
+    """Start and end of the run with the highest score (equal 1, different ``-MISMATCH``), whatever its share; leaks use ``longest_run``."""
     gain = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, -MISMATCH))])
     low = np.minimum.accumulate(gain)
     end = int(np.argmax(gain - low))
@@ -100,6 +100,36 @@ def best_run(equal: np.ndarray) -> tuple[int, int]:
     return start, end
 
 
+def longest_run(equal: np.ndarray, need: int, min_share: float) -> tuple[int, int] | None:
+    """Start and end of the run with the most equal words, then the earliest, that has ``need`` words and the share.
+
+    A run that begins or ends with a different word is no better than without it, unless it must be filled up to
+    ``need`` words. For each end the earliest start whose prefix value is low enough gives the most equal words.
+    """
+    n = len(equal)
+    if n < need:
+        return None
+    same = np.concatenate([[0], np.cumsum(equal)])
+    value = same - min_share * np.arange(n + 1)
+    # the first start with a value of at most value[end] is a strict new minimum
+    lows = np.flatnonzero(np.concatenate([[True], value[1:] < np.minimum.accumulate(value)[:-1]]))
+    ends = np.arange(need, n + 1)
+    place = np.searchsorted(-value[lows], -value[ends] - 1e-9, side="left")
+    starts = lows[np.minimum(place, len(lows) - 1)]
+    fits = (place < len(lows)) & (ends - starts >= need)
+    if not fits.any():
+        return None
+    starts, ends = starts[fits], ends[fits]
+    got = same[ends] - same[starts]
+    best = np.lexsort((ends, starts, -got))[0]
+    start, end = int(starts[best]), int(ends[best])
+    while end - start > need and not equal[start]:
+        start += 1
+    while end - start > need and not equal[end - 1]:
+        end -= 1
+    return start, end
+
+
 def leaks_of(words: np.ndarray, lines: list[tuple[np.ndarray, int]], min_words: int, min_share: float):
     """Best run per (item words, diagonal): equal words, start and end in the document, or None."""
     for item, diagonal in lines:
@@ -108,10 +138,8 @@ def leaks_of(words: np.ndarray, lines: list[tuple[np.ndarray, int]], min_words:
             yield None
             continue
         equal = item[first:last] == words[first + diagonal:last + diagonal]
-        start, end = best_run(equal)
-        same = int(equal[start:end].sum())
-        need = min(min_words, len(item))
-        yield (same, first + diagonal + start, first + diagonal + end) if end - start >= need and same >= min_share * (end - start) else None
+        run = longest_run(equal, min(min_words, len(item)), min_share)
+        yield (int(equal[slice(*run)].sum()), first + diagonal + run[0], first + diagonal + run[1]) if run else None
 
 
 def verify_task(min_words, min_share):

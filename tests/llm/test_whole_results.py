@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from panelwatch.llm import neardup
+from panelwatch.llm import decontaminate, neardup
 
 
 def variants(count, changes, seed):
@@ -59,3 +59,25 @@ def test_signatures_of_counts_and_of_plain_sets(spark):
     bands = {x.doc_id: x.bands for x in neardup.signatures(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert bands[0][:neardup.BANDS] == bands[0][neardup.BANDS:] and bands[1][:neardup.BANDS] != bands[1][neardup.BANDS:]
     assert bands[3] == [] and 2 not in bands
+
+
+def test_every_run_of_a_diagonal():
+    r = np.random.default_rng(5)
+    for _ in range(1500):
+        equal, need = r.random(r.integers(1, 40)) < r.choice([0.5, 0.7, 0.85]), int(r.integers(5, 9))
+        runs = [(int(equal[s:e].sum()), -s) for s in range(len(equal)) for e in range(s + need, len(equal) + 1)
+                if 5 * equal[s:e].sum() >= 4 * (e - s)]
+        run = decontaminate.longest_run(equal, need, 0.8)
+        assert (run is None) == (not runs)
+        if run:
+            share = equal[slice(*run)]
+            assert share.sum() == max(runs)[0] and len(share) >= need and 5 * share.sum() >= 4 * len(share)
+
+
+def test_verbatim_part_of_a_changed_item(spark):
+    item = [f"i{k}" for k in range(49)]
+    changed = [w if k < 10 or 14 <= k < 23 or 27 <= k < 36 or k >= 40 else f"o{k}" for k, w in enumerate(item)]
+    docs = spark.createDataFrame([(1, " ".join(changed)), (2, " ".join(item[:10])), (3, " ".join(item[:4]))], "doc_id long, text string")
+    found = decontaminate.find_leaks(docs, spark.createDataFrame([(5, " ".join(item))], "item_id long, item_text string").withColumnRenamed("item_text", "text")).collect()
+    assert {x.doc_id for x in found} == {1, 2}
+    assert all(x.n_equal >= 0.8 * (x.end_word - x.first_word) for x in found)
