@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelwatch.llm import collocations, decontaminate, language, licenses, linededup, lmscore, neardup, packing, secrets, topk, toxicity
+from panelwatch.llm import collocations, decontaminate, divergence, language, licenses, linededup, lmscore, neardup, packing, secrets, topk, toxicity
 
 QUERIES = {
     "op1_exact_top_k": topk.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.query,
     "op9_near_duplicates": neardup.query,
     "op10_lm_scores": lmscore.query,
+    "op11_source_divergence": divergence.query,
     "op13_collocations": collocations.query,
 }
 
@@ -22,5 +23,6 @@ ORACLE_SQL = {
     "op1_exact_top_k": topk.ORACLE_SQL,
     "op2_license_scan": licenses.ORACLE_SQL,
     "op3_line_dedup": linededup.ORACLE_SQL,
+    "op11_source_divergence": divergence.ORACLE_SQL,
     "op13_collocations": collocations.ORACLE_SQL,
 }
