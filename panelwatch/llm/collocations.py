@@ -33,6 +33,7 @@ WIDEST = 3
 LEAST, SHARE, TOP = 10, 50, 2000
 #: Entries of a container before it bursts, entries and words a task holds before it spills.
 BURST, HELD, WORDS = 4096, 1_000_000, 500_000
+BATCH = 100_000
 #: A phrase is packed into 63 bits, 21 for each word id of the task.
 ID_BITS = 21
 SEPARATOR = 0
@@ -145,25 +146,34 @@ class Counter:
             self.size += added
 
     def spill(self, goal: int):
-        """Give up whole subtrees, the largest first, until at most ``goal`` entries stay."""
+        """Give up whole subtrees, the largest first, until at most ``goal`` entries stay; small runs share a batch."""
         parts = []
         for lang, tree in self.trees.items():
             children = tree.items() if isinstance(tree, Node) else [(None, tree)]
             parts += [(entries(child), lang, word) for word, child in children]
         parts.sort(key=lambda x: (-x[0], x[1], x[2] or 0))
-        for size, lang, word in parts:
-            if self.size <= goal:
-                break
-            tree = self.trees[lang]
-            yield from self.batches(lang, run_of(tree if word is None else tree.pop(word)))
-            if word is None:
+        run, of = [], None
+        for size, lang, word in sorted(parts[:self.needed(parts, goal)], key=lambda x: (x[1], x[2] or 0)):
+            if run and (lang != of or len(run) >= BATCH):
+                yield from self.batches(of, run)
+                run = []
+            of, tree = lang, self.trees[lang]
+            run += run_of(tree if word is None else tree.pop(word))
+            if word is None or not tree:
                 del self.trees[lang]
             self.size -= size
+        if run:
+            yield from self.batches(of, run)
+
+    def needed(self, parts: list, goal: int) -> int:
+        """How many of the largest subtrees must go."""
+        left = self.size - np.cumsum([0] + [size for size, _, _ in parts])
+        return int(np.argmax(left <= goal))
 
     def batches(self, lang: str, run: list[tuple[int, int]]):
         names = list(self.words[lang])
-        for at in range(0, len(run), 100_000):
-            keys, counts = (np.array(x, np.int64) for x in zip(*run[at:at + 100_000]))
+        for at in range(0, len(run), BATCH):
+            keys, counts = (np.array(x, np.int64) for x in zip(*run[at:at + BATCH]))
             columns = [pa.array([lang] * len(keys), pa.string())]
             for depth in range(WIDEST):
                 ids = (keys >> shift(depth) & (1 << ID_BITS) - 1).tolist()

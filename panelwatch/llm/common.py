@@ -26,6 +26,13 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name if name not in df.columns else f"__{stem}_{uuid.uuid4().hex}"
 
 
+def added(df: DataFrame, name: str) -> str:
+    """Name of a result column beside the columns of ``df``: with ``_new`` at its end as often as needed to be unused."""
+    while name in df.columns:
+        name += "_new"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the folder all executors share; later steps read it again after a loss."""
     return materialize(df, f"llm-{name}")

@@ -1,7 +1,7 @@
 """How far the word use of sources differs within each language (operator 11).
 
-Texts are collapsed first: identical texts of a language become one row with a multiplicity per source. Each such text
-is tokenized once; its words are added to every source with the multiplicity as weight, for counts and for document
+Texts are collapsed first: identical texts of a language become one row with a multiplicity per source (texts that occur
+once stay where they are). Each text is tokenized once; its words are added to every source with the multiplicity as weight, for counts and for document
 frequencies alike. Tasks keep these sums in dicts and give them up when they hold ``HELD`` of them; Spark adds the rest.
 
 A term is kept by a language if at least ``least`` of its documents hold it. Groups are (language, source); a group's
@@ -29,9 +29,12 @@ from pyspark.sql import functions as F
 
 from panelwatch.llm import textops
 from panelwatch.llm.common import written
+from panelwatch.llm.decontaminate import bitmap_of, slots
 
 LEAST, TOP_TERMS = 30, 50
 SCALE, SMOOTH = 1_000_000_000, 5
+#: Occurrences and documents of a term share one whole number: the occurrences are its lower 63 bits.
+COUNT = (1 << 63) - 1
 #: Sums a task holds before it gives them up, sources on a side of a tile, terms in a bucket.
 HELD, SIDE, BUCKET = 1_000_000, 256, 2048
 
@@ -41,51 +44,70 @@ _LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES)
 TABLE = np.where(((_LOWER >= 97) & (_LOWER <= 122)) | (_LOWER >= 128), _LOWER, 32).astype(np.uint8).tobytes()
 
 
-def collapsed(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """(lang, text, sources): each different text of a language once, with the number of its rows per source."""
+def keyed_texts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
+    """lang, text, source without nulls, the text's key, and a hash of language and key."""
     base = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (text, "text"), (source, "source"))])
-    keyed = base.withColumn("key", F.unhex(F.sha2("text", 256)))
-    each = keyed.groupBy("lang", "key", "source").agg(F.count("*").alias("n"))
+    return base.withColumn("key", F.unhex(F.sha2("text", 256))).withColumn("seed", F.xxhash64("lang", "key"))
+
+
+def chosen_task(shared, repeated: bool):
+    """The rows whose hash is in the bitmap of repeated texts, or all others."""
+    def run(batches):
+        bitmap = shared.value
+        for batch in batches:
+            hit = np.ones(batch.num_rows, bool)
+            for slot in slots(batch.column("seed").to_numpy().view(np.uint64)):
+                hit &= (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+            yield batch.filter(pa.array(hit == repeated))
+    return run
+
+
+def collapsed(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
+    """(lang, text, sources): each different text of a language once, with the number of its rows per source.
+
+    Only texts that may occur again are shuffled: the hashes of the keys that do are in a bitmap of fixed size (2 MB).
+    A text that is taken for a repeated one by mistake just forms a group of its own.
+    """
+    keyed = keyed_texts(docs, text, lang, source)
+    again = keyed.groupBy("lang", "key", "seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(again))
+    once, often = (keyed.mapInArrow(chosen_task(shared, repeated), keyed.schema) for repeated in (False, True))
+    single = once.select("lang", "text", F.array(F.struct("source", F.lit(1).cast("long").alias("n"))).alias("sources"))
+    each = often.groupBy("lang", "key", "source").agg(F.count("*").alias("n"))
     # one entry per source at most, however many rows there are
     sources = each.groupBy("lang", "key").agg(F.collect_list(F.struct("source", "n")).alias("sources"))
-    texts = keyed.groupBy("lang", "key").agg(F.first("text").alias("text"))
-    return texts.join(sources, ["lang", "key"]).select("lang", "text", "sources")
+    texts = often.groupBy("lang", "key").agg(F.first("text").alias("text"))
+    return single.unionByName(texts.join(sources, ["lang", "key"]).select("lang", "text", "sources"))
 
 
 def term_task(held: int):
-    """Weighted sums per (lang, source, term) over collapsed texts."""
+    """Weighted sums per (lang, source, term) over collapsed texts: occurrences and documents."""
     def run(batches):
-        counts, frequency, size = defaultdict(Counter), defaultdict(Counter), 0
+        sums, size = defaultdict(dict), 0
 
         def given():
-            for (lang, source), terms in counts.items():
-                found = frequency[lang, source]
-                names = list(terms)
+            for (lang, source), terms in sums.items():
+                names, values = list(terms), list(terms.values())
                 for at in range(0, len(names), 100_000):
-                    some = names[at:at + 100_000]
+                    some = values[at:at + 100_000]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(some), pa.string()), pa.array([source] * len(some), pa.string()),
-                         pa.array(some, pa.binary()).cast(pa.string()), pa.array([terms[t] for t in some], pa.int64()),
-                         pa.array([found[t] for t in some], pa.int64())], names=["lang", "source", "term", "n", "docs"])
+                         pa.array(names[at:at + 100_000], pa.binary()).cast(pa.string()), pa.array([v & COUNT for v in some], pa.int64()),
+                         pa.array([v >> 63 for v in some], pa.int64())], names=["lang", "source", "term", "n", "docs"])
 
         for part in textops.slices(batches, "text"):
             texts = part.column("text").cast(pa.large_binary()).to_pylist()
             for lang, text, sources in zip(part.column("lang").to_pylist(), texts, part.column("sources").to_pylist()):
                 own = Counter(text.translate(TABLE).split())
                 for s in sources:
-                    group, times = (lang, s["source"]), s["n"]
-                    sums, found = counts[group], frequency[group]
-                    size -= len(sums)
-                    if times == 1:
-                        sums.update(own)
-                    else:
-                        sums.update({t: n * times for t, n in own.items()})
-                    found.update(dict.fromkeys(own, times))
-                    size += len(sums)
+                    group, times = sums[lang, s["source"]], s["n"]
+                    document, known, before = times << 63, group.get, len(group)
+                    for term, n in own.items():
+                        group[term] = known(term, 0) + n * times + document
+                    size += len(group) - before
                     if size > held:
                         yield from given()
-                        counts, frequency, size = defaultdict(Counter), defaultdict(Counter), 0
-                        sums = found = None
+                        sums, size = defaultdict(dict), 0
         yield from given()
     return run
 

@@ -24,9 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwatch.llm import textops
-from panelwatch.llm.common import fold
+from panelwatch.llm.common import added, fold, fresh
 
 CLASSES = 64
+RESULTS = ["lang_pred", "score", "cross_entropy", "rejected"]
 UNKNOWN = "und"
 #: Bins of a tenth for how far a training text lies above its language's mean, in standard deviations.
 FAR_BINS = 4000
@@ -154,7 +155,7 @@ def distance_task(shared):
     return run
 
 
-def predict_task(shared, columns):
+def predict_task(shared, columns, results):
     def run(batches):
         model = shared.value
         for part in textops.slices(batches, columns[0]):
@@ -175,7 +176,7 @@ def predict_task(shared, columns):
             kept = [part.column(c) for c in columns[1:]]
             yield pa.RecordBatch.from_arrays(
                 kept + [pa.array(named, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected, pa.bool_())],
-                names=list(columns[1:]) + ["lang_pred", "score", "cross_entropy", "rejected"])
+                names=[*columns[1:], *results])
     return run
 
 
@@ -197,15 +198,18 @@ def fit(docs: DataFrame, learn: Column, reject_share: float = 1e-4, least_limit:
     return model
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns of all rows with lang_pred, score, cross_entropy and rejected."""
+def identify(docs: DataFrame, model: Model, keep: list[str], results: list[str] | None = None) -> DataFrame:
+    """``keep`` columns of all rows with lang_pred, score, cross_entropy and rejected.
+
+    ``results`` names these four; by default a name that is kept already gets ``_new`` at its end.
+    """
+    results = results or [added(docs.select(*keep), c) for c in RESULTS]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.fields if f.name in keep]
+    text = fresh(docs, "text")
     schema = docs.select(*keep).schema
-    for name, kind in (("lang_pred", "string"), ("score", "double"), ("cross_entropy", "double"), ("rejected", "boolean")):
+    for name, kind in zip(results, ("string", "double", "double", "boolean")):
         schema = schema.add(name, kind)
-    assert len(fields) == len(keep)
-    return docs.select(F.col("text").alias("__text"), *keep).mapInArrow(predict_task(shared, ["__text", *keep]), schema)
+    return docs.select(F.col("text").alias(text), *keep).mapInArrow(predict_task(shared, [text, *keep], results), schema)
 
 
 def held_out() -> Column:
@@ -223,4 +227,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not rejected, unchanged."""
     columns = docs.columns
     model = fit(docs, ~held_out())
-    return identify(docs, model, columns).filter(~F.col("rejected")).select(*columns)
+    results = [fresh(docs, c) for c in RESULTS]
+    return identify(docs, model, columns, results).filter(~F.col(results[-1])).select(*columns)

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwatch.llm.common import ascii_lower
+from panelwatch.llm.common import added, ascii_lower
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -123,7 +123,13 @@ def starts_of(template: dict, rare: list[int], words: Column, hits: Column, min_
 
 
 def scan(docs: DataFrame, text: str = "text", min_cover: float = MIN_COVER) -> DataFrame:
-    """``docs`` plus ``n_words`` and ``findings``: array of (label, base, start, cover), start in words from 0."""
+    """``docs`` plus ``n_words`` and ``findings``: array of (label, base, start, cover), start in words from 0.
+
+    A result column whose name ``docs`` has already ends in ``_new``; no column of ``docs`` is changed.
+    """
+    own = {c: f"__own{i}" for i, c in enumerate(docs.columns) if c != text}
+    names = added(docs, "n_words"), added(docs, "findings")
+    kept, docs = docs.columns, docs.withColumnsRenamed(own)
     templates = catalogue()
     vocabulary = sorted({t["words"][i] for t in templates for i in t["must"]})
     count = frequencies(with_words(docs.select(text), F.col(text)), "__words", vocabulary)
@@ -136,8 +142,8 @@ def scan(docs: DataFrame, text: str = "text", min_cover: float = MIN_COVER) -> D
     prepared = prepared.withColumn("__hits", F.when(F.arrays_overlap(words, F.array(*map(F.lit, first))), placed))
     found = F.concat(*[starts_of(t, r, words, hits, min_cover) for t, r in zip(templates, rare)])
     none = F.array().cast("array<struct<label:string,base:boolean,start:int,cover:double>>")
-    return (prepared.withColumn("n_words", F.size(words).cast("long"))
-            .withColumn("findings", F.when(hits.isNull(), none).otherwise(found)).drop("__words", "__hits"))
+    return prepared.select(*[F.col(own.get(c, c)).alias(c) for c in kept], F.size(words).cast("long").alias(names[0]),
+                           F.when(hits.isNull(), none).otherwise(found).alias(names[1]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwatch.llm.common import fresh, written
+from panelwatch.llm.common import added, fresh, written
 
 #: Last hexadecimal digits that end a chunk: one line in four.
 CUTS = ["0", "4", "8", "c"]
@@ -78,9 +78,13 @@ def repeated_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             .groupBy("source").agg(F.collect_set("no").alias("removed")))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the text cut down to its kept chunks, plus ``n_lines`` and ``n_removed`` (lines, long)."""
-    clash = [c for c in docs.columns if c.startswith("__") or c in ("source_key", "removed")]
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: tuple[str, str] | None = None) -> DataFrame:
+    """``docs`` with the text cut down to its kept chunks, plus ``n_lines`` and ``n_removed`` (lines, long).
+
+    ``counts`` names the two result columns; by default a name that ``docs`` has already gets ``_new`` at its end.
+    """
+    n_lines_name, n_removed_name = counts or (added(docs, "n_lines"), added(docs, "n_removed"))
+    clash = [c for c in docs.columns if c.startswith("__") or c in ("source_key", "removed", "n_lines", "n_removed")]
     renamed = docs.withColumnsRenamed({c: fresh(docs, f"own{i}") for i, c in enumerate(clash)})
     back = {fresh(docs, f"own{i}"): c for i, c in enumerate(clash)}
     removed = repeated_places(docs, doc_id, text).withColumnsRenamed({"source": "__source", "removed": "__removed"})
@@ -91,7 +95,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     done = full.withColumn("n_lines", n_lines).withColumn("__kept", F.when(F.col("__removed").isNotNull(), kept))
     done = done.withColumn("n_removed", F.when(F.col("__removed").isNull(), 0).otherwise(F.size("__lines") - F.size("__kept")).cast("long"))
     done = done.withColumn(text, F.when(F.col("__removed").isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n")))
-    return done.select(*renamed.columns, "n_lines", "n_removed").withColumnsRenamed(back)
+    counted = F.col("n_lines").alias(n_lines_name), F.col("n_removed").alias(n_removed_name)
+    return done.select(*[F.col(c).alias(back.get(c, c)) for c in renamed.columns], *counted)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -102,9 +107,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without their repeated chunks; n_chars follows the text where the column exists."""
-    out = dedup_lines(docs.drop("n_lines", "n_removed"))
+    counts = fresh(docs, "lines"), fresh(docs, "removed")
+    out = dedup_lines(docs, counts=counts)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(counts[1]) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -357,6 +357,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.withColumn(node, F.md5(F.col("text").cast("binary")))
     heads = heads.select(F.col("node").alias(node), F.col("doc_id").alias(ident))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # rows that agree in id and text: the smallest one; maps have no order, so they are compared as text
+    order = F.struct(*[F.to_json(f"`{f.name}`") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+                       for f in docs.schema.fields if f.name not in ("doc_id", "text")], F.lit(0))
     one = (keyed.join(heads, (keyed[node] == heads[node]) & keyed["doc_id"].eqNullSafe(heads[ident]))
-           .groupBy(keyed[node], heads[ident]).agg(F.first(row).alias("row")).select("row.*"))
+           .groupBy(keyed[node], heads[ident]).agg(F.min_by(row, order).alias("row")).select("row.*"))
     return one.union(docs.filter(F.col("text").isNull()))

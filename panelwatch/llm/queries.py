@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelwatch.llm import collocations, decontaminate, divergence, language, licenses, linededup, lmscore, neardup, packing, secrets, topk, toxicity
+from panelwatch.llm import collocations, decontaminate, divergence, language, licenses, linededup, lmscore, neardup, packing, pages, secrets, topk, toxicity
 
 QUERIES = {
     "op1_exact_top_k": topk.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_near_duplicates": neardup.query,
     "op10_lm_scores": lmscore.query,
     "op11_source_divergence": divergence.query,
+    "op12_main_text": pages.query,
     "op13_collocations": collocations.query,
 }
 

@@ -12,8 +12,9 @@ blocks stop much earlier. Queries and blocks meet as blocks: each (query block,
 leaves at most k rows a query; the k best of all blocks are taken with partial sums.
 
 Defined results: vectors that are null, empty of ids, or hold null or non-finite components take no part; components
-are floor(scale * x), cut to +-2^27 so that 512 products fit a long; of vectors of different length the missing
-components count 0; an empty vector scores 0 with all; the query's own id is no candidate; repeated (id, vector) rows
+are floor(scale * x) as far as a long holds them (+-2^62 beyond that); scores are exact, with whole numbers of any size
+where products do not fit 64 bits, and a final score that no long holds is given as the nearest long; of vectors of
+different length the missing components count 0; an empty vector scores 0 with all; the query's own id is no candidate; repeated (id, vector) rows
 count once, and an id with several vectors counts with its best; ties go to the smaller id; fewer than k candidates
 give fewer rows; further columns are left alone.
 """
@@ -29,7 +30,8 @@ from panelwatch.llm.common import written
 
 BLOCK_ROWS = 8192
 QUERY_ROWS = 256
-LIMIT = float(1 << 27)
+LIMIT = float(1 << 62)
+LARGEST = (1 << 63) - 1
 #: Queries that meet a block in one task.
 TASK_QUERIES = 4096
 #: Shares of the lists that are read one after another, and the share of a block that is resolved rather than read on.
@@ -40,11 +42,21 @@ RESOLVE = 0.02
 def whole_numbers(vectors: DataFrame, vec_id: str, vector: str, scale: float) -> DataFrame:
     """(vec_id, v): distinct integer vectors that take part."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    ints = F.transform(vector, lambda x: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(x.cast("double") * scale).cast("double"))).cast("int"))
+    ints = F.transform(vector, lambda x: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(x.cast("double") * scale).cast("double"))).cast("long"))
     return (vectors.filter(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & ~bad)
             .select(F.col(vec_id).cast("long").alias("vec_id"), ints.alias("v")).distinct())
 
 
+def products(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Inner products of paired rows, exact: whole numbers of any size where 64 bits might not hold them."""
+    if not queries.size:
+        return np.zeros(len(queries), np.int64)
+    most = int(max(queries.max(), -queries.min())) * int(max(block.max(), -block.min())) * queries.shape[1]
+    if most <= LARGEST:
+        return (queries * block).sum(1)
+    return (queries.astype(object) * block.astype(object)).sum(1)
+
+
 def matrix(rows: list, wide: int = 0) -> np.ndarray:
     wide = max([wide, *map(len, rows)])
     if all(len(r) == wide for r in rows) and rows:
@@ -60,6 +72,7 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, block: np.ndarray):
         self.ids, self.block = ids, block
+        self.largest = float(np.abs(block.astype(np.float64)).max(initial=0.0))
         order = np.argsort(-block, axis=0, kind="stable")
         self.values = np.take_along_axis(block, order, 0).astype(np.float64)
         self.rank = np.empty_like(order)
@@ -97,23 +110,27 @@ def search(lists: Lists, query_ids: np.ndarray, queries: np.ndarray, k: int, flo
             lower = part[open_floor] + (worst_top + worst_end).sum(1, keepdims=True) - worst_top @ seen_top - worst_end @ seen_end
             lower[own[open_floor]] = -np.inf
             bound[open_floor] = np.partition(lower, n - k, axis=1)[:, n - k]
-        alive = (upper >= bound[:, None] - 0.5) & ~own
+        # sums of doubles: a bound may be off by a share of the largest sum there can be
+        slack = 0.5 + 1e-12 * (np.abs(t).sum(1) + np.abs(e).sum(1)) * lists.largest
+        alive = (upper >= (bound - 2 * slack)[:, None]) & ~own
         few = (alive.sum(1) <= max(4 * k, RESOLVE * n)) | (depth == n)
         row, column = np.nonzero(alive & few[:, None])
         for at in range(0, len(row), 1 << 18):
             r, c = going[row[at:at + (1 << 18)]], column[at:at + (1 << 18)]
-            found.append((r, c, (queries[r] * lists.block[c]).sum(1)))
+            found.append((r, c, products(queries[r], lists.block[c])))
         going = going[~few]
     if not found:
         return []
     row, column, score = (np.concatenate(x) for x in zip(*found))
-    keep = score >= floors[row]
-    row, ids, score = row[keep], lists.ids[column[keep]], score[keep]
-    order = np.lexsort((ids, -score, row))
+    ids = lists.ids[column]
+    if score.dtype == object:
+        order = np.array(sorted(range(len(row)), key=lambda i: (row[i], -score[i], ids[i])), np.int64)
+    else:
+        order = np.lexsort((ids, -score, row))
     row, ids, score = row[order], ids[order], score[order]
     place = np.arange(len(row)) - np.searchsorted(row, row)
     best = place < k
-    return list(zip(query_ids[row[best]].tolist(), ids[best].tolist(), score[best].tolist()))
+    return [(q, i, max(-LARGEST, min(LARGEST, x))) for q, i, x in zip(query_ids[row[best]].tolist(), ids[best].tolist(), score[best].tolist())]
 
 
 def search_task(k: int, with_floor: bool):
