@@ -9,15 +9,19 @@ from panelwatch.session import materialize
 
 
 def symmetric_edges(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """Both directions of every edge plus a self-loop per node, without repeats."""
-    pairs = edges.select("src", "dst")
-    ends = pairs.select(F.explode(F.array(
-        F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")),
-        F.struct("src", F.col("src").alias("dst")), F.struct(F.col("dst").alias("src"), "dst"),
+    """Both directions of every edge plus a self-loop per node, without repeats.
+
+    Each edge is shuffled once, as an undirected one; both directions and the
+    nodes come from the distinct edges, and only nodes are shuffled again.
+    """
+    once = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    both = once.filter("a <> b").select(F.explode(F.array(
+        F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")),
     )).alias("e")).select("e.src", "e.dst")
+    ends = once.select(F.explode(F.array("a", "b")).alias("src"))
     if nodes is not None:
-        ends = ends.unionByName(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst")))
-    return ends.distinct()
+        ends = ends.unionByName(nodes.select(F.col("node").alias("src")))
+    return both.unionByName(ends.distinct().select("src", F.col("src").alias("dst")))
 
 
 def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -62,10 +61,12 @@ def leave_out_predict(df: DataFrame, estimator, key: str = "county", features=C.
 
     Without ``folds`` every entity is left out by itself, however many there are:
     one fit an entity. With ``folds`` entities share that many folds, always.
-    The scaler is part of each
-    fit, and ``parallel`` fits run at a time. ``df`` should be a written or
-    cached table: every fold reads it.
+    The scaler is part of each fit, and ``parallel`` fits run at a time. Every
+    fit writes its predictions, so the result is one table however many entities
+    there are. ``df`` should be a written or cached table: every fold reads it.
     """
+    from panelwatch.session import scratch_path
+
     if folds is None:
         entities = [r[0] for r in df.select(key).distinct().collect()]
         tests = [F.col(key).eqNullSafe(F.lit(e)) for e in sorted(entities, key=str)]
@@ -75,18 +76,44 @@ def leave_out_predict(df: DataFrame, estimator, key: str = "county", features=C.
     if len(tests) < 2:
         raise ValueError("leaving one out needs at least two entities")
 
-    def one_fold(held_out: Column) -> DataFrame:
+    path = scratch_path(df.sparkSession, "leave-out")
+
+    def one_fold(numbered: tuple[int, Column]) -> None:
+        number, held_out = numbered
         pipeline = Pipeline(stages=[
             VectorAssembler(inputCols=list(features), outputCol="raw_features"),
             StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
             estimator,
         ])
         model = pipeline.fit(df.filter(~held_out))
-        return model.transform(df.filter(held_out)).drop("raw_features", "features")
+        out = model.transform(df.filter(held_out)).drop("raw_features", "features")
+        out.write.parquet(f"{path}/fold={number}")
 
     with ThreadPool(min(parallel, len(tests))) as pool:
-        parts = pool.map(inheritable_thread_target(df.sparkSession)(one_fold), tests)
-    return reduce(DataFrame.unionByName, parts)
+        pool.map(inheritable_thread_target(df.sparkSession)(one_fold), list(enumerate(tests)))
+    return df.sparkSession.read.parquet(path).drop("fold")
+
+
+def leave_out_report(predictions: DataFrame, key: str = "county", actual: str = "monthly_cases",
+                     predicted: str = "predicted_cases") -> DataFrame:
+    """One row: rows, entities, RMSE, MAE and R² of held-out predictions, the RMSE and MAE of the same test with the
+    mean of the other entities as prediction, and whether the model's errors are below those.
+
+    The mean of the others comes from one sum and count per entity.
+    """
+    from panelwatch.session import one_row
+
+    per = predictions.groupBy(key).agg(F.sum(actual).alias("_s"), F.count(actual).alias("_n"))
+    whole = one_row(per.agg(F.sum("_s").alias("total"), F.sum("_n").alias("rows")))
+    others = F.nullif(F.lit(whole["rows"]) - F.col("_n"), F.lit(0))
+    rest = per.select(key, ((F.lit(whole["total"]) - F.col("_s")) / others).alias("_mean"))
+    e, m = F.col(actual) - F.col(predicted), F.col(actual) - F.col("_mean")
+    spread = F.var_pop(actual) * F.count(e)
+    return predictions.join(rest, key).agg(
+        F.count(e).alias("n"), F.count_distinct(key).alias("entities"), F.sqrt(F.avg(e * e)).alias("rmse"),
+        F.avg(F.abs(e)).alias("mae"), F.when(spread > 0, 1 - F.sum(e * e) / spread).alias("r2"),
+        F.sqrt(F.avg(m * m)).alias("mean_rmse"), F.avg(F.abs(m)).alias("mean_mae"),
+    ).withColumn("better_than_mean", (F.col("rmse") < F.col("mean_rmse")) & (F.col("mae") < F.col("mean_mae")))
 
 
 def feature_importance(df: DataFrame, estimator, features=C.MODEL_FEATURES, top: int = 10) -> DataFrame:
@@ -155,3 +182,23 @@ def graph_forecast(panel: DataFrame, weights: DataFrame, features: list[str], ta
         key, "test_sample", F.col(target).alias("actual_cases"), "predicted_cases",
         (F.col(target) - F.col("predicted_cases")).alias("residual"),
     )
+
+
+def forecast_chain(monthly: DataFrame, weights: DataFrame, features: list[str], last_year: int,
+                   target: str = "monthly_cases", key: str = "county", window: int = 6, share: float = 0.8,
+                   estimator=None) -> DataFrame:
+    """The whole way from months to rated forecasts.
+
+    Dense panel (missing cells 0), cut at the last month of ``last_year``, sliding
+    windows with neighbour features, forecast of the last steps, and tier and score
+    of each forecast by the place's own quartiles of the actual test values. One row
+    per place and test step.
+    """
+    from panelwatch.operators.index import case_percentile_index
+    from panelwatch.operators.panel import cut_at_last_valid, dense_panel
+    from panelwatch.session import materialize
+
+    dense = materialize(dense_panel(monthly, [*features, target], key), "dense")
+    known = cut_at_last_valid(dense, last_year)
+    rows = materialize(graph_forecast(known, weights, features, target, key, "t", window, share, estimator), "forecast")
+    return case_percentile_index(rows, rows, key)

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from panelwatch.session import held, materialize, one_row
 
+#: Keys whose ranges may enter a plan as constants.
+FEW_KEYS = 64
+
 
 def _bucket(value: Column, lo: Column, hi: Column, buckets: int, first: bool) -> Column:
     """Bucket number of a value in [lo, hi]; never decreases as the value grows.
@@ -53,7 +56,10 @@ def _rows_in_open_ranges(rows: DataFrame, wanted: DataFrame, key: list[str], few
     """
     open_ranges = wanted.groupBy(*key).agg(F.collect_set(F.struct("lo", "hi")).alias("_open"))
     if few_keys:
-        by_key = {tuple(r[k] for k in key): r["_open"] for r in open_ranges.collect()}
+        found = open_ranges.limit(FEW_KEYS + 1).collect()
+        if len(found) > FEW_KEYS:
+            raise ValueError(f"few_keys is for at most {FEW_KEYS} keys")
+        by_key = {tuple(r[k] for k in key): r["_open"] for r in found}
         opened = F.lit(None).cast("array<struct<lo:double,hi:double>>")
         for values, ranges in by_key.items():
             same = F.lit(True)
@@ -79,7 +85,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], keys: list[st
 
     Ranges are cut until none holds more than ``max_rows`` rows (or only one
     value is left), so the last step sorts a bounded number per task. Without
-    keys, or with ``few_keys`` (the caller knows the key list is short), the
+    keys, or with ``few_keys`` (at most ``FEW_KEYS`` keys, checked), the
     ranges enter the plan as constants and the rows are not shuffled at all;
     otherwise the key join follows the table sizes and splits hot keys at run
     time. ``df`` is read once per cut and twice more: pass a written table.

@@ -171,13 +171,14 @@ CTES: dict[str, tuple[list[str], str]] = {
     "nation_edges": ([], """
         SELECT a.n_name AS src, b.n_name AS dst FROM nation a JOIN nation b
         ON b.n_nationkey = a.n_nationkey + 1 OR b.n_nationkey = a.n_nationkey + 5"""),
-    "reports_raw": ([], "SELECT event_id AS id, list_extract([" + ", ".join(f"'{row[0]}'" for row in C.COUNTY_META) + """],
-               CAST(user_id % 8 AS INTEGER) + 1) AS county, CAST(event_id % 5 AS INTEGER) AS severity,
+    "reports_raw": ([], "SELECT event_id AS id, CASE WHEN user_id % 11 = 0 THEN 'Old Town_' || CAST(user_id % 4 AS VARCHAR) ELSE list_extract(["
+               + ", ".join(f"'{row[0]}'" for row in C.COUNTY_META) + """], CAST(user_id % 8 AS INTEGER) + 1) END AS county, CAST(event_id % 5 AS INTEGER) AS severity,
                props AS description, CAST(user_id*100 + day(ts) AS VARCHAR) AS reporter_id, ts AS created_at
         FROM events"""),
     "reports": (["reports_raw"], "SELECT * REPLACE (greatest(1, least(3, severity)) AS severity) FROM reports_raw"),
     "subscription_requests": ([], """
-        SELECT CAST(o_custkey AS VARCHAR) AS phone, n_name AS county,
+        SELECT CAST(o_custkey AS VARCHAR) AS phone,
+               CASE WHEN o_orderkey % 11 = 0 THEN 'Old Town_' || CAST(o_orderkey % 4 AS VARCHAR) ELSE n_name END AS county,
                list_extract(['english', 'spanish', 'Hmong', 'punjabi', 'klingon'],
                             CAST(o_orderkey % 5 AS INTEGER) + 1) AS language,
                o_orderdate AS requested_at, o_orderkey AS request_id

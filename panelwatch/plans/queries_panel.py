@@ -48,6 +48,7 @@ def joi3(s: Standins) -> DataFrame:
        "SELECT e.county, e.year, e.month, e.precip_mm, p.risk_score, p.gpot, p.erisk FROM env e "
        "LEFT JOIN predictions p USING (county, year, month)")
 def joi4(s: Standins) -> DataFrame:
+    s = s.shared()
     return s.env().join(serving.index_rows(s.predictions()), ["county", "year", "month"], "left")
 
 
@@ -102,6 +103,7 @@ def prj6(s: Standins) -> DataFrame:
        "predictions env", "SELECT p.county, p.year, p.month, risk_score, gpot, monthly_cases, e.precip_mm, residual "
        "FROM predictions p JOIN env e USING (county, year, month)")
 def prj7(s: Standins) -> DataFrame:
+    s = s.shared()
     rain = s.env().select("county", "year", "month", "precip_mm")
     joined = s.predictions().join(rain, ["county", "year", "month"])
     return joined.select("county", "year", "month", half_up(F.col("risk_score"), 2).alias("risk_score"),

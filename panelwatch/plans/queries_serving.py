@@ -56,9 +56,7 @@ def flt4(s: Standins) -> DataFrame:
         F.col("c_nationkey") < 20, F.concat(F.lit(" na_TION"), F.lit("_ "), F.col("c_nationkey").cast("string"))
     ).otherwise(F.concat(F.lit("nowhere "), F.col("c_nationkey").cast("string"))).alias("county"))
     places = s.table("nation").select(F.col("n_name").alias("county"))
-    known = places.select(text.entity_key(F.col("county")).alias("_key"), F.col("county").alias("_known"))
-    return typed.withColumn("_key", text.entity_key(F.col("county"))).join(known, "_key", "left").select(
-        "id", F.coalesce("_known", "county").alias("county"))
+    return rep.resolve_place(typed, places)
 
 
 @query("flt5_future_rows", "county:s year:i month:i predicted_cases:f6", "predictions",
@@ -107,6 +105,7 @@ _NOW = FORECAST_NOW[0] * 12 + FORECAST_NOW[1]
 def qry3(s: Standins) -> DataFrame:
     """Two places are a year behind, so that they have no month from now on."""
     late = F.col("county").isin("NATION_1", "NATION_2")
+    s = s.shared()
     rows = s.predictions().withColumn("year", F.when(late, F.col("year") - 1).otherwise(F.col("year")))
     return serving.forecast(rows, s.case_predictions(), *FORECAST_NOW)
 
@@ -118,9 +117,21 @@ def qry3(s: Standins) -> DataFrame:
        (SELECT *, row_number() OVER (PARTITION BY county ORDER BY year DESC, month DESC) AS rn FROM env) e
        LEFT JOIN predictions p ON e.county = p.county AND e.year = p.year AND e.month = p.month WHERE rn <= 24""")
 def qry4(s: Standins) -> DataFrame:
+    s = s.shared()
     return serving.env_history(s.env(), s.predictions(), 24)
 
 
+@query("qry4_first_load_wins", "county:s year:i month:i risk_score:f6 gpot:f6 erisk:f6", "predictions", """
+       SELECT county, year, month, risk_score + CASE WHEN month % 3 = 0 THEN 5 ELSE 0 END AS risk_score, gpot, erisk FROM predictions""")
+def qry4_loads(s: Standins) -> DataFrame:
+    """Every month was loaded again with lower values; the first load stands, here with 5 more in every third month."""
+    rows = s.predictions()
+    raised = F.col("risk_score") + F.when(F.col("month") % 3 == 0, 5).otherwise(0)
+    first = rows.withColumn("risk_score", raised).withColumn("load_id", F.lit(1))
+    again = rows.withColumn("risk_score", F.col("risk_score") - 1).withColumn("load_id", F.lit(2))
+    return serving.index_rows(again.unionByName(first))
+
+
 # --- insights ---------------------------------------------------------------
 
 _YEARLY = ("SELECT county, year, avg(monthly_cases) AS avg_cases, max(monthly_cases) AS peak_cases, count(*) FILTER (risk_score >= 20) "
@@ -251,6 +262,7 @@ def ml7(s: Standins) -> DataFrame:
 # --- text rules -------------------------------------------------------------
 
 def _overview(s: Standins) -> DataFrame:
+    s = s.shared()
     return serving.place_overview(_latest(s), s.master())
 
 
@@ -328,6 +340,22 @@ def str2(s: Standins) -> DataFrame:
                                text.needs_search(F.col("text"), ["ir", "sh", "ER"]).alias("needs_search"))
 
 
+_REPLY_INTENTS = list(zip(["medication", "protection", "symptom", "clinic"], [["ir"], ["hein", "qu"], ["un"], ["sh"]]))
+_REPLY_SQL = "CASE intent " + " ".join("WHEN '" + k + "' THEN '" + v.replace("'", "''") + "'" for k, v in C.REPLY_TEXTS.items()) + " END"
+_CAUTION_SQL = "replace(replace('" + C.REPLY_CAUTION + "', '{county}', m.county), '{risk_level}', l.risk_level)"
+
+
+@query("str2_replies", "conv_id:l turn:l county:s intent:s reply:s", "messages latest", f"""
+       SELECT conv_id, turn, m.county, intent, {_REPLY_SQL} || CASE WHEN intent = 'protection' AND l.risk_level IN ('High', 'Very High') THEN {_CAUTION_SQL} ELSE '' END AS reply
+       FROM (SELECT conv_id, turn, CASE WHEN conv_id % 7 <> 0 THEN 'NATION_' || CAST(conv_id % 25 AS VARCHAR) END AS county,
+                    CASE WHEN {_HIT['ir']} THEN 'medication' WHEN {_HIT['hein']} OR {_HIT['qu']} THEN 'protection' WHEN {_HIT['un']} THEN 'symptom'
+                    WHEN {_HIT['sh']} THEN 'clinic' ELSE 'default' END AS intent FROM messages) m LEFT JOIN latest l ON l.county = m.county""")
+def str2_replies(s: Standins) -> DataFrame:
+    """Stand-in keywords choose among the fixed replies; one conversation in seven names no place."""
+    place = F.when(F.col("conv_id") % 7 != 0, F.concat(F.lit("NATION_"), (F.col("conv_id") % 25).cast("string")))
+    return serving.rule_replies(s.messages().withColumn("county", place), _latest(s), _REPLY_INTENTS)
+
+
 @query("str2_default_keywords", "doc_id:l intent:s needs_search:b", "", "SELECT doc_id, CASE "
        + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{name}'" for name, words in C.INTENT_KEYWORDS)
        + " ELSE 'default' END AS intent, " + " OR ".join(f"contains(lower(text), '{w}')" for w in C.SEARCH_KEYWORDS) + " AS needs_search FROM documents")
@@ -346,7 +374,7 @@ def _template_sql(values: dict[str, str]) -> str:
 @query("str4_template_fill", "phone:s county:s message:s", "subs",
        "SELECT phone, county, " + _template_sql({"risk_level": "'High'", "county": "county", "advice": "phone"}) + " AS message FROM subs")
 def str4(s: Standins) -> DataFrame:
-    subs = rep.subscriptions(s.subscription_requests())
+    subs = rep.subscriptions(s.subscription_requests(), places=s.meta())
     template = F.element_at(text.literal_map(C.ALERT_LANGUAGES), F.col("language"))
     return subs.select("phone", "county", text.fill_template(template, {
         "risk_level": F.lit("High"), "county": F.col("county"), "advice": F.col("phone")}).alias("message"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwatch import constants as C
 from panelwatch.functions.numeric import half_up, truthy
-from panelwatch.functions.text import month_index, month_label, signed_percent, whole_text
+from panelwatch.functions.text import fill_template, literal_map, month_index, month_label, route_intent, signed_percent, whole_text
 from panelwatch.operators.index import legacy_score, optional_column
 from panelwatch.operators.panel import last_rows
 from panelwatch.operators.stats import anomalies, peak_calendar_month, peak_record, trend, yearly_insight
@@ -87,10 +87,30 @@ def forecast(predictions: DataFrame, case_predictions: DataFrame, year: int, mon
     return first.unionByName(second, allowMissingColumns=True)
 
 
-def index_rows(predictions: DataFrame) -> DataFrame:
-    """Index values of each place and month, once: of repeated rows the one with the smallest values in column order."""
+def index_rows(predictions: DataFrame, load: str = "load_id") -> DataFrame:
+    """Index values of each place and month, once: of repeated rows the first loaded one.
+
+    The load order is the column ``load`` where the table has it; rows of one load
+    (or of a table without loads) are told apart by their values in column order.
+    """
     values = F.struct(*[optional_column(predictions, c).alias(c) for c in ("risk_score", "gpot", "erisk")])
-    return predictions.groupBy("county", "year", "month").agg(F.min(values).alias("_v")).select("county", "year", "month", "_v.*")
+    order = F.struct(F.col(load), values) if load in predictions.columns else values
+    return predictions.groupBy("county", "year", "month").agg(F.min_by(values, order).alias("_v")).select("county", "year", "month", "_v.*")
+
+
+def rule_replies(messages: DataFrame, latest: DataFrame, intents=C.INTENT_KEYWORDS, texts=C.REPLY_TEXTS,
+                 tiers=C.ALERT_TIERS) -> DataFrame:
+    """Reply of each message by its intent; the protection reply adds a caution where the message's place is at risk.
+
+    ``messages``: ``text`` and ``county`` (null if none was named) and any other
+    columns; ``latest``: one row per place.
+    """
+    named = messages.withColumn("intent", route_intent(F.col("text"), intents))
+    at_risk = latest.filter(F.col("risk_level").isin(list(tiers))).select("county", "risk_level")
+    caution = F.when((F.col("intent") == C.CAUTION_INTENT) & F.col("risk_level").isNotNull(), fill_template(
+        F.lit(C.REPLY_CAUTION), {"county": F.col("county"), "risk_level": F.col("risk_level")}))
+    reply = F.element_at(literal_map(texts), F.col("intent"))
+    return named.join(at_risk, "county", "left").withColumn("reply", F.concat(reply, F.coalesce(caution, F.lit(""))))
 
 
 def env_history(env: DataFrame, predictions: DataFrame, months: int = 24) -> DataFrame:

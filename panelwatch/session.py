@@ -6,12 +6,16 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
 _LOCAL_DIRS: dict[str, str] = {}
 
+#: Most rows of a result that may become part of a plan.
+HELD_ROWS = 10_000
+
 
 def build_session(app: str = "panelwatch", master: str | None = None, **conf) -> SparkSession:
     """Session with adaptive execution, skew handling and UTC time.
@@ -75,9 +79,22 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(arrow, schema)
 
 
-def held(df: DataFrame) -> DataFrame:
-    """A result of a few rows, taken once and held in the plan."""
-    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+def held(df: DataFrame, most: int = HELD_ROWS) -> DataFrame:
+    """A result of a few rows, taken once and held in the plan; more than ``most`` rows are an error."""
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        raise ValueError(f"more than {most} rows to hold in the plan: write them as a table")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None if nothing was written there yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def one_row(df: DataFrame) -> dict:

@@ -35,9 +35,6 @@ POLYGON_ROWS = [
 ]
 
 
-_SCHEMAS: dict[str, StructType] = {}
-
-
 def _cents(name: str) -> Column:
     """Amount in hundredths: whole numbers add up exactly in any order."""
     return F.rint(F.col(name) * 100).cast("long")
@@ -47,19 +44,30 @@ def _amount(cents: Column) -> Column:
     return cents / F.lit(100.0)
 
 
+def typed_name(name: Column, number: Column) -> Column:
+    """A place name as people type it; one in eleven is a place nobody knows."""
+    return (
+        F.when(number % 11 == 0, F.concat(F.lit("Old Town_"), (number % 4).cast("string")))
+        .when(number % 3 == 0, F.upper(F.replace(name, F.lit(" "), F.lit("_"))))
+        .when(number % 3 == 1, F.concat(F.lit(" "), F.lower(F.replace(name, F.lit(" "), F.lit("")))))
+        .otherwise(name)
+    )
+
+
 class Standins:
     """Derived views over the parquet tables in one folder; all of them are lazy plans."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._schemas: dict[str, StructType] = {}
 
     def table(self, name: str) -> DataFrame:
-        """A given table; its schema is read from the files once per session, as a catalog would hold it."""
+        """A given table; its schema is read from the files once per object."""
         path = self.path(name)
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        if path not in self._schemas:
+            self._schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[path]).parquet(path)
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
@@ -173,6 +181,10 @@ class Standins:
             "risk_score", "predicted_risk", "score_method",
         )
 
+    def shared(self) -> Standins:
+        """The same views with weather, dust and cases written once, for queries that use them several times."""
+        return _Shared(self)
+
     # --- points, graph, people
 
     def points(self) -> DataFrame:
@@ -203,8 +215,9 @@ class Standins:
         names = F.array(*[F.lit(r[0]) for r in C.COUNTY_META])
         u = F.col("user_id")
         events = self.table("events") if events is None else events
+        known = F.element_at(names, (u % 8 + 1).cast("int"))
         return events.select(
-            F.col("event_id").alias("id"), F.element_at(names, (u % 8 + 1).cast("int")).alias("county"),
+            F.col("event_id").alias("id"), typed_name(known, u).alias("county"),
             (F.col("event_id") % 5).cast("int").alias("severity"), F.col("props").alias("description"),
             (u * 100 + F.day("ts")).cast("string").alias("reporter_id"), F.col("ts").cast("timestamp").alias("created_at"),
         )
@@ -215,7 +228,7 @@ class Standins:
         customers = self.table("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
         nations = self.table("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("county"))
         return self.table("orders").join(customers, "o_custkey").join(nations, "c_nationkey").select(
-            F.col("o_custkey").cast("string").alias("phone"), "county",
+            F.col("o_custkey").cast("string").alias("phone"), typed_name(F.col("county"), F.col("o_orderkey")).alias("county"),
             F.element_at(langs, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("language"),
             F.col("o_orderdate").alias("requested_at"), F.col("o_orderkey").alias("request_id"),
         )
@@ -276,3 +289,25 @@ class Standins:
         from panelwatch.sources.readers import flatten_items
 
         return flatten_items(self.facilities_nested())
+
+
+class _Shared(Standins):
+    """Stand-ins whose daily tables are read from files after their first use."""
+
+    def __init__(self, base: Standins):
+        super().__init__(base.spark, base.folder)
+        self._schemas, self._written = base._schemas, {}
+
+    def _once(self, name: str, build) -> DataFrame:
+        if name not in self._written:
+            self._written[name] = materialize(build(), name)
+        return self._written[name]
+
+    def weather(self) -> DataFrame:
+        return self._once("weather", super().weather)
+
+    def air(self) -> DataFrame:
+        return self._once("air", super().air)
+
+    def cases(self) -> DataFrame:
+        return self._once("cases", super().cases)

@@ -94,6 +94,48 @@ def cases_freshness(cases: DataFrame | None, stored_year: int | None, current_ha
     )
 
 
+def yearly_files(state: DataFrame, files: DataFrame, current_year: int, key: str = "source") -> DataFrame:
+    """:func:`yearly_file_freshness` for every row of a state table.
+
+    ``state``: key and ``last_date``; ``files``: key and ``year`` of each listed
+    file. Two flags per key are all that is shuffled.
+    """
+    listed = files.groupBy(key).agg(
+        (F.count_if(F.col("year") == current_year) > 0).alias("_this"),
+        (F.count_if(F.col("year") == current_year - 1) > 0).alias("_prior"),
+    )
+    year = F.when(F.col("_this"), F.lit(current_year)).when(F.col("_prior"), F.lit(current_year - 1))
+    first_day = F.make_date(F.col("year_available"), F.lit(1), F.lit(1))
+    return state.join(listed, key, "left").withColumn("year_available", year).withColumn(
+        "has_new_data",
+        F.col("year_available").isNotNull() & F.coalesce(F.col("last_date") < first_day, F.lit(True)),
+    ).drop("_this", "_prior")
+
+
+def case_files(cases: DataFrame, key: str = "county", version: tuple[str, ...] = ("year", "case_count")) -> DataFrame:
+    """Content hash and last year of the case table of each key: what a stored state is compared with.
+
+    A key holds one row per year, so its sorted rows are bounded by the calendar.
+    """
+    rows = F.array_sort(F.collect_list(F.concat_ws(":", F.lpad(F.col(version[0]).cast("string"), 4, "0"), *[F.col(c).cast("string") for c in version[1:]])))
+    return cases.groupBy(key).agg(F.sha2(F.array_join(rows, "\n"), 256).alias("hash"), F.max("year").alias("max_year"))
+
+
+def case_file_freshness(state: DataFrame, files: DataFrame, key: str = "county") -> DataFrame:
+    """Per expected case table whether to load it, and why: ``missing``, ``modified``, ``new_year`` or ``none``.
+
+    ``state``: key, ``stored_hash`` and ``stored_year``; ``files``: what
+    :func:`case_files` gives for the tables that exist. A table that is not there
+    needs its first load; a changed one is loaded whatever its years.
+    """
+    joined = state.join(files, key, "left")
+    changed = ~F.col("hash").eqNullSafe(F.col("stored_hash"))
+    newer = (F.col("stored_year") != 0) & (F.col("max_year") > F.col("stored_year"))
+    reason = (F.when(F.col("hash").isNull(), F.lit("missing")).when(changed, F.lit("modified"))
+              .when(F.coalesce(newer, F.lit(False)), F.lit("new_year")).otherwise(F.lit("none")))
+    return joined.withColumn("reason", reason).withColumn("has_new_data", F.col("reason") != "none")
+
+
 def status(state: DataFrame) -> DataFrame:
     """One row: last run, last checks and the date each source is loaded through."""
     sources = list(C.REFRESH_CADENCE_HOURS)

@@ -10,18 +10,21 @@ from panelwatch.functions.text import entity_key, fill_template, literal_map
 
 
 def resolve_place(df: DataFrame, places: DataFrame, column: str = "county", keep_unknown: bool = True) -> DataFrame:
-    """Spelled place names to known ones; unknown ones stay as typed or are dropped.
+    """Spelled place names to known ones, whatever their case, blanks and underscores.
 
-    ``places`` has one row per known ``county``.
+    Unknown ones stay as typed or are dropped. ``places`` has one row per known
+    ``county``; of names that differ in spelling only the first one counts.
+    Works on streams: the places are the static side.
     """
-    known = places.select(entity_key(F.col("county"), " ").alias("_key"), F.col("county").alias("_known"))
+    known = places.groupBy(entity_key(F.col("county")).alias("_key")).agg(F.min("county").alias("_known"))
     out = df.withColumn("_key", entity_key(F.col(column))).join(known, "_key", "left" if keep_unknown else "inner")
     return out.withColumn(column, F.coalesce("_known", column)).drop("_key", "_known")
 
 
-def ingest(reports: DataFrame, limits=C.SEVERITY_RANGE) -> DataFrame:
-    """Reports with the severity kept in range; works on batches and streams."""
-    return reports.withColumn("severity", F.greatest(F.lit(limits[0]), F.least(F.lit(limits[1]), F.col("severity"))))
+def ingest(reports: DataFrame, limits=C.SEVERITY_RANGE, places: DataFrame | None = None) -> DataFrame:
+    """Reports with the severity kept in range and, given ``places``, the typed place resolved; batches and streams."""
+    named = reports if places is None else resolve_place(reports, places)
+    return named.withColumn("severity", F.greatest(F.lit(limits[0]), F.least(F.lit(limits[1]), F.col("severity"))))
 
 
 def badges(reports: DataFrame, needed: int = C.BADGE_REPORTS) -> DataFrame:
@@ -65,11 +68,16 @@ def within_hours(df: DataFrame, now: Column, hours: int, ts: str = "created_at")
     return df.filter(F.col(ts) > now - F.make_dt_interval(hours=F.lit(hours)))
 
 
-def subscriptions(requests: DataFrame, languages=C.ALERT_LANGUAGES, default: str = C.DEFAULT_LANGUAGE) -> DataFrame:
-    """Current language per phone and place: the last request wins, unknown languages become the default."""
+def subscriptions(requests: DataFrame, languages=C.ALERT_LANGUAGES, default: str = C.DEFAULT_LANGUAGE,
+                  places: DataFrame | None = None) -> DataFrame:
+    """Current language per phone and place: the last request wins, unknown languages become the default.
+
+    Given ``places``, typed names are resolved first, so two spellings of a place are one subscription.
+    """
     lang = F.lower("language")
     known = F.when(lang.isin(list(languages)), lang).otherwise(F.lit(default))
-    return requests.groupBy("phone", "county").agg(
+    named = requests if places is None else resolve_place(requests, places)
+    return named.groupBy("phone", "county").agg(
         F.max_by(known, F.struct("requested_at", "request_id")).alias("language")
     )
 
@@ -94,10 +102,10 @@ def alert_messages(subs: DataFrame, latest: DataFrame, templates=C.ALERT_LANGUAG
 
 # --- streams ----------------------------------------------------------------
 
-def stream_ingest(reports: DataFrame, path: str, trigger: dict | None = None):
+def stream_ingest(reports: DataFrame, path: str, trigger: dict | None = None, places: DataFrame | None = None):
     """Append ingested reports to a table."""
     return (
-        ingest(reports).writeStream.format("parquet").option("path", f"{path}/data")
+        ingest(reports, places=places).writeStream.format("parquet").option("path", f"{path}/data")
         .option("checkpointLocation", f"{path}/_checkpoint").outputMode("append")
         .trigger(**(trigger or {"availableNow": True})).start()
     )
@@ -125,6 +133,22 @@ def windowed_counts(reports: DataFrame, length: str = "24 hours", slide: str = "
     )
 
 
+def windowed_counts_of_table(reports: DataFrame, hours: int = 24) -> DataFrame:
+    """:func:`windowed_counts` with hourly steps for a table: reports are counted by hour first.
+
+    What is multiplied by ``hours`` is one row per place and hour, not every report.
+    """
+    hour = F.date_trunc("hour", "created_at")
+    hourly = reports.groupBy("county", hour.alias("_hour")).agg(F.count(F.lit(1)).alias("_n"), F.max("severity").alias("_s"))
+    back = F.explode(F.sequence(F.lit(0), F.lit(hours - 1))).alias("_back")
+    length = F.make_dt_interval(hours=F.lit(hours))
+    return (
+        hourly.select("*", back).withColumn("window_start", F.col("_hour") - F.make_dt_interval(hours=F.col("_back")))
+        .groupBy("county", "window_start").agg(F.sum("_n").alias("reports"), F.max("_s").alias("max_severity"))
+        .select("county", "window_start", (F.col("window_start") + length).alias("window_end"), "reports", "max_severity")
+    )
+
+
 def stream_windowed_counts(reports: DataFrame, path: str, trigger: dict | None = None, **window):
     """Append closed windows to a table."""
     return (
