@@ -6,11 +6,17 @@ becomes a lattice of the letters it may stand for, at a price per substitution,
 Viterbi decoding takes the path that is likeliest under a character trigram model of the corpus. The restored words join
 the words of the text.
 
-Score: words fall into 2^18 buckets. Over labelled training rows, near copies taken once (one row per smallest hash of
-three-word runs), a bucket becomes a feature if it is clearly commoner in toxic texts (likelihood ratio ``least_ratio``
-or more and three times the odds). A text's raw value is the sum of the log odds of its features; a logistic curve
-fitted on the training rows turns it into a probability. All counts cover all labelled training rows; the model is the
-trigram table (27^3) and one number for each bucket that is a feature.
+Score: words fall into 2^18 buckets. Every labelled training row counts with its own label; rows with the same sketch
+(the three smallest hashes of their three-word runs, so copies and most near copies, but not texts that share a
+passage) have the weight of one row together. A bucket becomes a feature if it is clearly commoner in toxic texts
+(likelihood ratio ``least_ratio`` or more and three times the odds). A text's raw value is the sum of the log odds of its
+features; a logistic curve fitted on the training rows turns it into a probability. The model is the trigram table (27^3)
+and one number for each bucket that is a feature.
+
+Data flow: labels meet ids and sketches, a few bytes a row. Word buckets are only made for rows whose sketch is in a
+bitmap (2 MB) of the labelled ones, joined by id and sketch, and summed inside each task. All texts are read again
+for the scores; no word of an unlabelled text is stored or shuffled. The search for disguised places goes through a text
+once; places longer than ``WIDE`` characters are decoded in overlapping windows, so the work follows the text's length.
 
 Defined results: null and empty texts get the score of a text without features; rows whose id is null are scored and
 not learned from; an id with several labels counts as toxic if one says so; repeated rows are scored each; without
@@ -24,14 +30,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwatch.llm import textops
 from panelwatch.llm.common import fold, written
+from panelwatch.llm.decontaminate import bitmap_of, slots
 
 BUCKET_BITS = 18
 SYMBOLS = 27
+#: Weight of a row whose sketch no other row has.
+ONE = 1 << 20
 
 # What a sign may stand for.
 STANDS_FOR = {
@@ -40,11 +50,13 @@ STANDS_FOR = {
 }
 SUBSTITUTE, MERGE, DROP, DOUBLE = 1.5, 0.5, 0.5, 2.5
 
-#: A sign between letters or before two letters; a letter three times; four or more single letters with separators.
-LEET = re.compile(r"[0-9@$!|+*]{1,2}(?=[^\W\d_])(?:(?<=[^\W\d_].)|(?<=[^\W\d_]..)|(?<![^\W_][0-9@$])(?<![^\W_][0-9@$]{2})(?=[^\W\d_]{2}))")
-REPEAT = re.compile(r"([a-z])\1{2,}")
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W_@$!]|[@$!])(?:[ .\-_*~/]{1,2}(?:[^\W_]|[@$!])){3,}(?![^\W_])")
-TOKEN = re.compile(r"[^\W_]*[^\s.,;:?\"'()\[\]{}<>=/\\&%#^~`]+")
+#: A sign beside a letter (an exclamation mark only before one), a letter three times, three or more single characters.
+MIXED = re.compile(r"[^\W\d_][0-9@$|+*]|[0-9@$!|+*][^\W\d_]")
+REPEAT = re.compile(r"([a-z])\1\1")
+SPACED = re.compile(r"(?<![^\W_])[a-z0-9@$!](?:[ .\-_*~/]{1,2}[a-z0-9@$!]){2,}(?![^\W_])")
+TOKEN = re.compile(r"[^\s.,;:?\"'()\[\]{}<>=/\\&%#^~`]+")
+#: Places are decoded in windows of so many characters, each half over the next.
+WIDE = 48
 
 
 def trigram_task(batches):
@@ -71,9 +83,9 @@ def trigram_model(texts: DataFrame) -> np.ndarray:
     return np.log((counts + 2 * pair[None]) / (counts.sum(2, keepdims=True) + 2))
 
 
-def lattice(span: str) -> list[list[tuple[str, float]]]:
+def lattice(span: str, spaced: bool | None = None) -> list[list[tuple[str, float]]]:
     """Per place the letters it may stand for and their price; '' drops the place."""
-    spaced = SPACED.fullmatch(span) is not None
+    spaced = SPACED.fullmatch(span) is not None if spaced is None else spaced
     out, i = [], 0
     while i < len(span):
         c, run = span[i], 1
@@ -113,49 +125,45 @@ def viterbi(span: str, log_model: np.ndarray) -> str:
     return max(states.values())[1].strip()
 
 
+def windows(span: str) -> list[str]:
+    return [span[a:a + WIDE] for a in range(0, max(1, len(span) - WIDE // 2), WIDE // 2)]
+
+
 def suspicious(low: str) -> list[str]:
     """Spans of a lower-case text that may be disguised words."""
-    spans = [m.group() for m in SPACED.finditer(low)]
-    ends = -1
-    for pattern in (LEET, REPEAT):
-        ends = -1
-        for m in pattern.finditer(low):
-            if m.start() < ends:
-                continue
-            start = max(low.rfind(" ", 0, m.start()), low.rfind("\n", 0, m.start())) + 1
-            token = TOKEN.match(low, start)
-            while token and token.end() <= m.start():
-                token = TOKEN.search(low, token.end())
-            if token:
-                ends = token.end()
-                spans.append(token.group().strip("!|+*-_"))
+    spans = [w.strip(" .-_*~/") for m in SPACED.finditer(low) for w in windows(m.group())]
+    for m in TOKEN.finditer(low):
+        token = m.group().strip("!|+*-_")
+        if MIXED.search(token) or REPEAT.search(token):
+            spans += windows(token)
     return spans
 
 
 def doubtful(column: pa.Array) -> np.ndarray:
-    """Texts that may hold a disguise: a letter three times, a sign beside a letter, or four single characters in a row.
+    """Texts that may hold a disguise: a letter three times, a sign beside a letter, or three single characters in a row.
 
     A look at the bytes that spares clean texts the exact search; it misses nothing that the search would find.
     """
     data, offsets = textops.raw(column)
     out = np.zeros(len(column), bool)
-    if len(data) < 3:
+    if len(data) < 2:
         return out
-    lower = data | np.uint8(0x20)
-    letter = (lower >= 97) & (lower <= 122)
-    sign = ((data >= 48) & (data <= 57)) | np.isin(data, np.frombuffer(b"@$!|+*", np.uint8))
+    lower = np.where((data >= 65) & (data <= 90), data | np.uint8(0x20), data)
+    plain = (lower >= 97) & (lower <= 122)
+    letter, digit = plain | (data >= 128), (data >= 48) & (data <= 57)
+    front = digit | np.isin(data, np.frombuffer(b"@$!|+*", np.uint8))
+    back = front & (data != 33)
     mark = np.zeros(len(data), bool)
-    mark[2:] |= letter[2:] & (lower[2:] == lower[1:-1]) & (lower[2:] == lower[:-2])
-    mark[:-1] |= sign[:-1] & (letter[1:] | (data[1:] >= 128))
-    word = letter | sign | (data >= 128)
-    single, begins = word.copy(), offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
+    mark[2:] |= plain[2:] & (lower[2:] == lower[1:-1]) & (lower[2:] == lower[:-2])
+    mark[1:] |= (front[:-1] & letter[1:]) | (letter[:-1] & back[1:])
+    word = plain | digit
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:], after[:-1] = word[:-1], word[1:]
+    begins = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
     before[begins] = after[begins - 1] = False
-    single &= (~before & ~after) | (data >= 128)
-    at = np.flatnonzero(single)
-    if len(at) > 3:
-        mark[at[3:][at[3:] - at[:-3] <= 15]] = True
+    at = np.flatnonzero((word & ~before & ~after) | np.isin(data, np.frombuffer(b"@$!", np.uint8)))
+    if len(at) > 2:
+        mark[at[2:][at[2:] - at[:-2] <= 6]] = True
     hits = np.flatnonzero(mark)
     out[np.searchsorted(offsets, hits, side="right") - 1] = True
     return out
@@ -190,46 +198,87 @@ def restored_words(docs: DataFrame, log_model: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(restore_task(shared), f"doc_id {kind}, restored string")
 
 
-def feature_task(shared):
-    """(doc_id, sketch, buckets): distinct buckets of written and restored words."""
+def sketches_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One number per text from the three smallest different hashes of its three-word runs; 0 without words."""
+    gram, rows = textops.grams(hashes, counts, 3)
+    out = np.zeros(len(counts), np.uint64)
+    if not len(gram):
+        return out
+    order = np.lexsort((gram, rows))
+    gram, rows = gram[order], rows[order]
+    new = np.append(True, (gram[1:] != gram[:-1]) | (rows[1:] != rows[:-1]))
+    gram, rows = gram[new], rows[new]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    low = place < 3
+    np.add.at(out, rows[low], textops.mix(gram[low] + place[low].astype(np.uint64)))
+    return out
+
+
+def sketch_task(batches):
+    """(doc_id, sketch) of every text."""
+    for part in textops.slices(batches, "text"):
+        sketch = sketches_of(*textops.word_hashes(part.column("text")))
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sketch.view(np.int64))], names=["doc_id", "sketch"])
+
+
+def buckets_of(column: pa.Array, restore) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and distinct buckets of written and restored words, sorted by both."""
+    hashes, counts = textops.word_hashes(column)
+    extra, extra_counts = textops.word_hashes(restore(column))
+    row = np.concatenate([textops.row_of(counts), textops.row_of(extra_counts)])
+    bucket = np.concatenate([hashes, extra]) >> np.uint64(64 - BUCKET_BITS)
+    both = np.unique((row.astype(np.uint64) << np.uint64(BUCKET_BITS)) | bucket)
+    return (both >> np.uint64(BUCKET_BITS)).astype(np.int64), (both & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)
+
+
+def train_task(shared):
+    """(doc_id, sketch, buckets) of the texts whose sketch may be a labelled one."""
     def run(batches):
-        restore = restorer(shared.value)
+        log_model, bitmap = shared.value
+        restore = restorer(log_model)
         for part in textops.slices(batches, "text"):
-            n = part.num_rows
-            hashes, counts = textops.word_hashes(part.column("text"))
-            grams, rows = textops.grams(hashes, counts, 3)
-            sketch = np.zeros(n, np.uint64)
-            if len(rows):
-                first = np.searchsorted(rows, np.arange(n))
-                some = counts > 0
-                sketch[some] = np.minimum.reduceat(grams, first[some])
-            extra, extra_counts = textops.word_hashes(restore(part.column("text")))
-            row = np.concatenate([textops.row_of(counts), textops.row_of(extra_counts)])
-            bucket = np.concatenate([hashes, extra]) >> np.uint64(64 - BUCKET_BITS)
-            both = np.unique((row.astype(np.uint64) << np.uint64(BUCKET_BITS)) | bucket)
-            row = (both >> np.uint64(BUCKET_BITS)).astype(np.int64)
-            offsets = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
-            values = pa.array((both & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int32))
+            sketch = sketches_of(*textops.word_hashes(part.column("text")))
+            one, two = slots(sketch)
+            keep = pa.array(((bitmap[one >> 3] >> (one & 7).astype(np.uint8)) & (bitmap[two >> 3] >> (two & 7).astype(np.uint8)) & 1).astype(bool))
+            part, sketch = part.filter(keep), pa.array(sketch.view(np.int64)).filter(keep)
+            row, bucket = buckets_of(part.column("text"), restore)
+            offsets = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(sketch.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), values)],
+                [part.column("doc_id"), sketch, pa.ListArray.from_arrays(offsets, pa.array(bucket.astype(np.int32)))],
                 names=["doc_id", "sketch", "buckets"])
     return run
 
 
-def raw_scores(weights: np.ndarray, buckets: pa.ListArray) -> np.ndarray:
-    buckets = buckets.fill_null([]) if buckets.null_count else buckets
-    values = weights[buckets.flatten().to_numpy(zero_copy_only=False).astype(np.int64)]
-    total = np.concatenate([[0.0], np.cumsum(values)])
-    ends = np.concatenate([[0], np.cumsum(np.diff(buckets.offsets.to_numpy()))])
-    return total[ends[1:]] - total[ends[:-1]]
+def flat_buckets(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and buckets of a list column."""
+    lengths = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return textops.row_of(lengths), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def sum_task(batches):
+    """Weighted sums per bucket over (toxic, weight, buckets) rows, one row per bucket and task."""
+    bad, total = np.zeros(1 << BUCKET_BITS, np.int64), np.zeros(1 << BUCKET_BITS, np.int64)
+    for part in batches:
+        row, bucket = flat_buckets(part.column("buckets"))
+        weight, toxic = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("weight", "toxic"))
+        np.add.at(total, bucket, weight[row])
+        np.add.at(bad, bucket, (weight * toxic)[row])
+    there = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(bad[there]), pa.array(total[there])], names=["bucket", "bad", "n"])
+
+
+def raw_values(weights: np.ndarray, row: np.ndarray, bucket: np.ndarray, rows: int) -> np.ndarray:
+    """Sum of the weights of each row's buckets."""
+    return np.bincount(row, weights[bucket], rows) if len(row) else np.zeros(rows)
 
 
 def bin_task(shared):
+    """Weighted rows per tenth of the raw value and label."""
     def run(batches):
         for part in batches:
-            raw = np.round(raw_scores(shared.value, part.column("buckets")) * 10).astype(np.int64)
-            key = pa.array(raw), pa.array(part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*key, pa.array(np.ones(len(raw), np.int64))], names=["bin", "toxic", "n"])
+            raw = np.round(raw_values(shared.value, *flat_buckets(part.column("buckets")), part.num_rows) * 10).astype(np.int64)
+            toxic = pa.array(part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(raw), toxic, part.column("weight")], names=["bin", "toxic", "n"])
     return run
 
 
@@ -247,23 +296,25 @@ def logistic(x: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> tuple
     return float(a), float(b)
 
 
-def feature_weights(train: DataFrame, least_ratio: float) -> tuple[np.ndarray, int, int]:
-    """Log odds per bucket from (toxic, buckets) rows; 0 where it is no feature."""
-    sizes = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bad, good = sizes.get(1, 0), sizes.get(0, 0)
+def feature_weights(train: DataFrame, least_ratio: float) -> tuple[np.ndarray, float, float]:
+    """Log odds per bucket from (toxic, weight, buckets) rows; 0 where it is no feature."""
+    sizes = {r.toxic: r.n / ONE for r in train.groupBy("toxic").agg(F.sum("weight").alias("n")).collect()}
+    bad, good = sizes.get(1, 0.0), sizes.get(0, 0.0)
     weights = np.zeros(1 << BUCKET_BITS)
     if not bad or not good:
         return weights, bad, good
-    rows = (train.select("toxic", F.explode("buckets").alias("bucket")).groupBy("bucket")
-            .agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).filter("bad >= 3").toArrow())  # at most 2^18 rows
-    k, at = rows.column("bad").to_numpy().astype(float), rows.column("bucket").to_numpy()
-    m = rows.column("n").to_numpy() - k
-    share = (k + m) / (bad + good)
+    sums = train.select("toxic", "weight", "buckets").mapInArrow(sum_task, "bucket int, bad long, n long")
+    rows = (sums.groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+            .filter(F.col("bad") >= int(2.99 * ONE)).toArrow())  # at most 2^18 rows
+    k, at = rows.column("bad").to_numpy() / ONE, rows.column("bucket").to_numpy()
+    m = np.maximum(rows.column("n").to_numpy() / ONE - k, 0.0)
+    share = np.minimum((k + m) / (bad + good), 1.0)
 
     def part(seen, expected):
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
 
-    ratio = 2 * (part(k, bad * share) + part(m, good * share) + part(bad - k, bad * (1 - share)) + part(good - m, good * (1 - share)))
+    left = np.maximum(bad - k, 0.0), np.maximum(good - m, 0.0)
+    ratio = 2 * (part(k, bad * share) + part(m, good * share) + part(left[0], bad * (1 - share)) + part(left[1], good * (1 - share)))
     odds = np.log((k + 0.5) / (bad + 1)) - np.log((m + 0.5) / (good + 1))
     weights[at] = np.where((ratio >= least_ratio) & (odds >= np.log(3)), odds, 0.0)
     return weights, bad, good
@@ -271,30 +322,43 @@ def feature_weights(train: DataFrame, least_ratio: float) -> tuple[np.ndarray, i
 
 def score_task(shared):
     def run(batches):
-        weights, a, b = shared.value
-        for part in batches:
-            score = 1 / (1 + np.exp(-np.clip(a * raw_scores(weights, part.column("buckets")) + b, -30, 30)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
+        log_model, weights, a, b = shared.value
+        restore = restorer(log_model)
+        for part in textops.slices(batches, "text"):
+            raw = raw_values(weights, *buckets_of(part.column("text"), restore), part.num_rows)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30))))], names=["doc_id", "score"])
     return run
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, sketch, toxic, weight) of the labelled texts: rows of one sketch share the weight of one."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    rows = docs.select("doc_id", "text").mapInArrow(sketch_task, f"doc_id {kind}, sketch long")
+    each = written(rows.groupBy("doc_id", "sketch").agg(F.count("*").alias("n")).join(known, "doc_id"), "labelled")
+    sizes = each.groupBy("sketch").agg(F.sum("n").alias("size"))
+    return each.join(sizes, "sketch").select("doc_id", "sketch", "toxic", F.round(F.lit(ONE) / F.col("size")).cast("long").alias("weight"))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, least_ratio: float = 25.0) -> DataFrame:
     """(doc_id, score) of every row; ``learn`` says from which rows (by doc_id) labels may be used."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    shared = spark.sparkContext.broadcast(trigram_model(docs.filter(learn)))
-    features = written(docs.select("doc_id", "text").mapInArrow(feature_task(shared), f"doc_id {kind}, sketch long, buckets array<int>"), "features")
-    known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    train = features.filter(learn).join(known, "doc_id").groupBy("sketch").agg(F.min(F.struct("toxic", "buckets")).alias("row"))
-    train = written(train.select("row.toxic", "row.buckets"), "train")
+    docs = docs.select("doc_id", "text")
+    log_model = trigram_model(docs.filter(learn))
+    teaching = docs.filter(learn & F.col("doc_id").isNotNull())
+    labelled = written(labelled_rows(teaching, labels), "weights")
+    shared = spark.sparkContext.broadcast((log_model, bitmap_of(labelled.select(F.col("sketch").alias("seed")))))
+    rows = teaching.mapInArrow(train_task(shared), f"doc_id {kind}, sketch long, buckets array<int>")
+    train = written(rows.join(labelled, ["doc_id", "sketch"]).select("toxic", "weight", "buckets"), "train")
     weights, bad, good = feature_weights(train, least_ratio)
     if bad and good:
         bins = train.mapInArrow(bin_task(spark.sparkContext.broadcast(weights)), "bin long, toxic int, n long")
         bins = bins.groupBy("bin").agg(F.sum(F.col("toxic") * F.col("n")).alias("bad"), F.sum("n").alias("n")).toPandas()
-        a, b = logistic(bins["bin"].to_numpy() / 10, bins["bad"].to_numpy(float), (bins["n"] - bins["bad"]).to_numpy(float))
+        a, b = logistic(bins["bin"].to_numpy() / 10, bins["bad"].to_numpy(float) / ONE, (bins["n"] - bins["bad"]).to_numpy(float) / ONE)
     else:
         a, b = 0.0, float(np.log((bad + 1e-9) / (good + 1e-9))) if bad + good else -30.0
-    final = spark.sparkContext.broadcast((weights, a, b))
-    return features.select("doc_id", "buckets").mapInArrow(score_task(final), f"doc_id {kind}, score double")
+    final = spark.sparkContext.broadcast((log_model, weights, a, b))
+    return docs.mapInArrow(score_task(final), f"doc_id {kind}, score double")
 
 
 def held_out() -> Column:
