@@ -1,6 +1,12 @@
 """From raw documents to packed sequences: language, repeated lines, near duplicates, benchmark leaks, packing.
 
 Each stage reads what its predecessor wrote. All but the last return the columns of ``documents``.
+
+Defined results: a text that is null or has no letter is rejected by the first stage; an empty table gives an empty
+result; of rows that are equal or near copies one stays (the smallest id, null ids last, then the smallest row); null
+languages, sources and ids pass through; further columns, whatever their names and types, come out of every stage but the
+last unchanged (``n_chars`` follows a text that lost lines); without a benchmark item of at least five words nothing is
+taken for a leak.
 """
 
 from __future__ import annotations

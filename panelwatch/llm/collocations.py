@@ -19,6 +19,9 @@ phrase's bytes; further columns are left alone.
 
 from __future__ import annotations
 
+import zlib
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -101,25 +104,18 @@ class Counter:
 
     def __init__(self, width: int, bitmap: np.ndarray | None, burst: int, held: int, words: int):
         self.width, self.bitmap, self.burst, self.held, self.limit = width, bitmap, burst, held, words
-        self.trees, self.words, self.common, self.total, self.size = {}, {}, {}, {}, 0
+        self.trees, self.words, self.common, self.good, self.total, self.size = {}, {}, {}, {}, {}, 0
 
-    def flags(self, lang: str, words: Words) -> np.ndarray:
-        """Per word id: is the word in the bitmap of common words; looked up once per word."""
-        known = self.common.get(lang, np.zeros(2, bool))
+    def hashes(self, lang: str, words: Words) -> np.ndarray:
+        """Hash of each word id, taken once per word."""
+        known = self.common.get(lang, np.zeros(2, np.uint64))
         if len(known) < len(words):
-            seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-            fresh = list(words)[len(known):]
-            hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in fresh], np.uint64)
-            known = self.common[lang] = np.concatenate([known, in_bitmap(self.bitmap, hashes)])
+            fresh = word_hashes(lang, list(islice(words, len(known), None)))
+            if self.width == 2:
+                self.good[lang] = np.concatenate([self.good.get(lang, np.zeros(2, bool)), in_bitmap(self.bitmap, fresh)])
+            known = self.common[lang] = np.concatenate([known, fresh])
         return known
 
-    def pair_flags(self, lang: str, words: Words, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Per pair of ids: is it in the bitmap of common pairs."""
-        names, seed = list(words), xxhash.xxh64_intdigest(lang.encode(), 42)
-        hashes = {w: xxhash.xxh64_intdigest(names[w], seed) for w in np.unique(first).tolist()}
-        pairs = [xxhash.xxh64_intdigest(names[b], hashes[a]) for a, b in zip(first.tolist(), second.tolist())]
-        return in_bitmap(self.bitmap, np.array(pairs, np.uint64))
-
     def add(self, lang: str, joined: bytes) -> None:
         """Count the phrases of one slice of texts, separated by line ends."""
         words = self.words.setdefault(lang, Words())
@@ -129,20 +125,28 @@ class Counter:
         solid = ids != SEPARATOR
         if self.width == 1:
             self.total[lang] = self.total.get(lang, 0) + int(solid.sum())
-            keys = ids[solid] << shift(0)
+            found = np.bincount(ids[solid])
+            keys = np.flatnonzero(found) << shift(0)
+            self.put(lang, keys, found[found > 0])
+            return
         elif self.width == 2:
-            good = self.flags(lang, words)[ids] & solid
+            self.hashes(lang, words)
+            good = self.good.get(lang, np.zeros(2, bool))[ids] & solid
             at = np.flatnonzero(good[:-1] & good[1:])
             keys = ids[at] << shift(0) | ids[at + 1] << shift(1)
         else:
             at = np.flatnonzero(solid[:-1] & solid[1:])
             pairs, place = np.unique(ids[at] << ID_BITS | ids[at + 1], return_inverse=True)
             common = np.zeros(len(ids), bool)
-            common[at] = self.pair_flags(lang, words, pairs >> ID_BITS, pairs & (1 << ID_BITS) - 1)[place]
+            own = self.hashes(lang, words)
+            common[at] = in_bitmap(self.bitmap, joined_hashes(own[pairs >> ID_BITS], own[pairs & (1 << ID_BITS) - 1]))[place.reshape(-1)]
             at = np.flatnonzero(common[:-1] & common[1:])
             keys = ids[at] << shift(0) | ids[at + 1] << shift(1) | ids[at + 2]
+        self.put(lang, *np.unique(keys, return_counts=True))
+
+    def put(self, lang: str, keys: np.ndarray, counts: np.ndarray) -> None:
         if len(keys):
-            self.trees[lang], added = insert(self.trees.get(lang, {}), *np.unique(keys, return_counts=True), 0, self.width, self.burst)
+            self.trees[lang], added = insert(self.trees.get(lang, {}), keys, counts, 0, self.width, self.burst)
             self.size += added
 
     def spill(self, goal: int):
@@ -185,7 +189,7 @@ class Counter:
         """Spill half of the entries when there are too many, all of them when the word ids run out."""
         if sum(map(len, self.words.values())) > self.limit:
             yield from self.finish()
-            self.words, self.common = {}, {}
+            self.words, self.common, self.good = {}, {}, {}
         elif self.size > self.held:
             yield from self.spill(self.held // 2)
 
@@ -199,6 +203,27 @@ class Counter:
         self.total = {}
 
 
+def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    seed = zlib.crc32(lang.encode())
+    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
+
+
+def joined_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return textops.mix(first * textops.GOLD + second)
+
+
+def seed_task(width: int):
+    """Bitmap hashes of words or pairs."""
+    def run(batches):
+        for batch in batches:
+            langs = batch.column("lang").to_pylist()
+            words = [[w.encode() for w in batch.column(f"w{i + 1}").to_pylist()] for i in range(width)]
+            hashes = [np.concatenate([word_hashes(g, [w]) for g, w in zip(langs, column)] or [np.zeros(0, np.uint64)]) for column in words]
+            seed = hashes[0] if width == 1 else joined_hashes(*hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64))], names=["seed"])
+    return run
+
+
 def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     out = np.ones(len(hashes), bool)
     for slot in slots(hashes.astype(np.uint64)):
@@ -245,7 +270,7 @@ def phrase_counts(texts: DataFrame, width: int, common: DataFrame | None = None,
     """
     shared = None
     if common is not None:
-        seeds = common.filter("w1 IS NOT NULL").select(F.xxhash64("lang", *[f"w{i}" for i in range(1, width)]).alias("seed"))
+        seeds = common.filter("w1 IS NOT NULL").mapInArrow(seed_task(width - 1), "seed long")
         shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(seeds))
     runs = texts.mapInArrow(count_task(width, shared, burst, held, words), SCHEMA)
     return runs.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))

@@ -86,18 +86,16 @@ def test_trie_counts_like_a_dict():
     assert collocations.run_of(tree) == sorted(want.items())
 
 
-def test_seeds_of_tasks_and_of_columns_agree(spark):
-    import xxhash
-    from pyspark.sql import functions as F
-    rows = [("en", "a", "é漢"), ("", "x" * 50, "b")]
-    got = [r[0] & (1 << 64) - 1 for r in spark.createDataFrame(rows, "lang string, w1 string, w2 string").select(F.xxhash64("lang", "w1", "w2")).collect()]
-    want = []
-    for row in rows:
-        seed = 42
-        for x in row:
-            seed = xxhash.xxh64_intdigest(x.encode(), seed)
-        want.append(seed)
-    assert got == want
+def test_bitmap_holds_every_common_phrase(spark):
+    rows = [("en", "a", "é漢"), ("", "x" * 50, "b"), ("en", "é漢", "a")]
+    table = spark.createDataFrame(rows, "lang string, w1 string, w2 string")
+    for width in (1, 2):
+        bitmap = collocations.bitmap_of(table.mapInArrow(collocations.seed_task(width), "seed long"))
+        for lang, *words in rows:
+            hashes = [collocations.word_hashes(lang, [w.encode()]) for w in words]
+            seed = hashes[0] if width == 1 else collocations.joined_hashes(*hashes)
+            assert collocations.in_bitmap(bitmap, seed).all()
+        assert not collocations.in_bitmap(bitmap, collocations.word_hashes("fr", [b"q", b"r"])).any()
 
 
 PAGE = ("<!DOCTYPE html><html class='no-js'><head><title>T</title><style>p{}</style><script>var a='</p>';if(a<b){}</script></head><body class='has-sidebar'>"
