@@ -7,10 +7,11 @@ each next word. When a task holds more than ``HELD`` entries it spills its large
 runs are merged by Spark per language and phrase: the whole phrase is the partition's prefix, so the phrases that
 begin with one very common pair are dealt over all tasks.
 
-A phrase can only occur ``least`` times if its words and pairs do. So the pair pass leaves out pairs of rare words and
-the triple pass triples of rare pairs. What is common is known from two bitmaps of fixed size (2 MB), built by a
-distributed OR; a wrong hit in a bitmap only means that a rare phrase is counted and dropped afterwards. Nothing else is
-sent to all tasks, and no result depends on the bitmaps.
+A phrase can only occur ``least`` times if its words and pairs do. So the pair pass leaves out pairs of rare words, and
+pairs whose slot among 2^24 counters (a pass of its own) stays below ``least``, and the triple pass triples of rare pairs.
+What is common is known from bitmaps of fixed size (2 MB), built by a distributed OR; a wrong hit in a bitmap only means
+that a rare phrase is counted and dropped afterwards. Nothing else is sent to all tasks, and no result depends on the
+bitmaps: with more pairs than the counters tell apart, more of them are counted.
 
 Defined results: null texts are empty, a null language is ``und``; words may be of any length; repeated rows count each;
 an empty table gives an empty result; scores are exact (decimals of 38 digits); ties are ordered by count, then by the
@@ -35,10 +36,11 @@ from panelwatch.llm.decontaminate import bitmap_of, slots
 WIDEST = 3
 LEAST, SHARE, TOP = 10, 50, 2000
 #: Entries of a container before it bursts, entries and words a task holds before it spills.
-BURST, HELD, WORDS = 4096, 1_000_000, 500_000
-BATCH = 100_000
+BURST, HELD, WORDS = 4096, 300_000, 250_000
+BATCH = 50_000
 #: A phrase is packed into 63 bits, 21 for each word id of the task.
 ID_BITS = 21
+SLOT_BITS = 24
 SEPARATOR = 0
 
 _FROM = bytes(range(65, 91)) + b".,;:!?\x0a\x0b\x0c\x0d\x09"
@@ -102,8 +104,9 @@ class Words(dict):
 class Counter:
     """The tries of one task, one per language, and their spilled runs."""
 
-    def __init__(self, width: int, bitmap: np.ndarray | None, burst: int, held: int, words: int):
-        self.width, self.bitmap, self.burst, self.held, self.limit = width, bitmap, burst, held, words
+    def __init__(self, width: int, bitmaps: tuple, burst: int, held: int, words: int):
+        self.width, self.burst, self.held, self.limit = width, burst, held, words
+        self.bitmap, self.slots = bitmaps
         self.trees, self.words, self.common, self.good, self.total, self.size = {}, {}, {}, {}, {}, 0
 
     def hashes(self, lang: str, words: Words) -> np.ndarray:
@@ -130,10 +133,17 @@ class Counter:
             self.put(lang, keys, found[found > 0])
             return
         elif self.width == 2:
-            self.hashes(lang, words)
+            own = self.hashes(lang, words)
             good = self.good.get(lang, np.zeros(2, bool))[ids] & solid
             at = np.flatnonzero(good[:-1] & good[1:])
-            keys = ids[at] << shift(0) | ids[at + 1] << shift(1)
+            pairs, counts = np.unique(ids[at] << ID_BITS | ids[at + 1], return_counts=True)
+            slot = slot_of(joined_hashes(own[pairs >> ID_BITS], own[pairs & (1 << ID_BITS) - 1]))
+            if self.slots is None:
+                np.add.at(self.sums, slot, counts.astype(np.int32))
+                return
+            often = (self.slots[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+            self.put(lang, pairs[often] << shift(1), counts[often])
+            return
         else:
             at = np.flatnonzero(solid[:-1] & solid[1:])
             pairs, place = np.unique(ids[at] << ID_BITS | ids[at + 1], return_inverse=True)
@@ -224,6 +234,10 @@ def seed_task(width: int):
     return run
 
 
+def slot_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     out = np.ones(len(hashes), bool)
     for slot in slots(hashes.astype(np.uint64)):
@@ -231,18 +245,49 @@ def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def each_piece(batches):
+    """(language, joined texts) of every slice, in parts of bounded size."""
+    for part in textops.slices(batches, "text"):
+        langs = part.column("lang").to_pylist()
+        for lang in sorted(set(langs)):
+            rows = pa.array([i for i, x in enumerate(langs) if x == lang], pa.int64())
+            texts = part.column("text").take(rows).cast(pa.large_binary()).to_pylist()
+            # a long text gives many new words: ids must stay below 2^21
+            yield from ((lang, piece) for piece in pieces_of(b"\n".join(texts)))
+
+
+def slot_task(shared, words: int):
+    """(slot, n): pairs of common words per slot, added up in the task."""
+    def run(batches):
+        counter = Counter(2, shared.value, BURST, 0, words)
+        counter.sums = np.zeros(1 << SLOT_BITS, np.int32)
+        for lang, piece in each_piece(batches):
+            counter.add(lang, piece)
+            if sum(map(len, counter.words.values())) > words:
+                counter.words, counter.common, counter.good = {}, {}, {}
+        there = np.flatnonzero(counter.sums)
+        for at in range(0, len(there), 1 << 17):
+            some = there[at:at + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counter.sums[some])], names=["slot", "n"])
+    return run
+
+
+def slot_bitmap(texts: DataFrame, shared, least: int, words: int) -> np.ndarray:
+    """Bitmap of the slots with at least ``least`` pairs: 2^21 bytes."""
+    sums = texts.mapInArrow(slot_task(shared, words), "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    rows = (sums.select(F.shiftright("slot", 5).alias("word"), F.expr("shiftleft(1L, slot & 31)").alias("bit"))
+            .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())  # at most 2^19 rows
+    out = np.zeros(1 << SLOT_BITS - 5, np.uint32)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint32)
+    return out.view(np.uint8)
+
+
 def count_task(width: int, shared, burst: int, held: int, words: int):
     def run(batches):
-        counter = Counter(width, shared.value if shared else None, burst, held, words)
-        for part in textops.slices(batches, "text"):
-            langs = part.column("lang").to_pylist()
-            for lang in sorted(set(langs)):
-                rows = pa.array([i for i, x in enumerate(langs) if x == lang], pa.int64())
-                texts = part.column("text").take(rows).cast(pa.large_binary()).to_pylist()
-                # a long text gives many new words: ids must stay below 2^21
-                for piece in pieces_of(b"\n".join(texts)):
-                    counter.add(lang, piece)
-                    yield from counter.relieve()
+        counter = Counter(width, shared.value if shared else (None, None), burst, held, words)
+        for lang, piece in each_piece(batches):
+            counter.add(lang, piece)
+            yield from counter.relieve()
         yield from counter.finish()
     return run
 
@@ -263,15 +308,18 @@ def pieces_of(joined: bytes, size: int = textops.SLICE_BYTES):
 
 
 def phrase_counts(texts: DataFrame, width: int, common: DataFrame | None = None,
-                  burst: int = BURST, held: int = HELD, words: int = WORDS) -> DataFrame:
+                  least: int = LEAST, burst: int = BURST, held: int = HELD, words: int = WORDS) -> DataFrame:
     """(lang, w1, w2, w3, n) of all phrases of ``width`` words; w1 null holds the number of words of the language.
 
-    ``common``: the phrases with one word less that may be parts (all of them for width 1).
+    ``common``: the phrases with one word less that may be parts (all of them for width 1). Of longer phrases, those
+    that occur at least ``least`` times are all there, of rarer ones some.
     """
     shared = None
     if common is not None:
         seeds = common.filter("w1 IS NOT NULL").mapInArrow(seed_task(width - 1), "seed long")
-        shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(seeds))
+        context, bitmap = texts.sparkSession.sparkContext, bitmap_of(seeds)
+        slots_often = slot_bitmap(texts, context.broadcast((bitmap, None)), least, words) if width == 2 else None
+        shared = context.broadcast((bitmap, slots_often))
     runs = texts.mapInArrow(count_task(width, shared, burst, held, words), SCHEMA)
     return runs.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
 
@@ -289,8 +337,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     enough = F.col("w1").isNull() | (F.col("n") >= least)
     one = written(phrase_counts(texts, 1, **limits).filter(enough), "words")
-    two = written(phrase_counts(texts, 2, one, **limits).filter(enough), "pairs")
-    three = written(phrase_counts(texts, 3, two, **limits).filter(enough), "triples")
+    two = written(phrase_counts(texts, 2, one, least, **limits).filter(enough), "pairs")
+    three = written(phrase_counts(texts, 3, two, least, **limits).filter(enough), "triples")
     total = one.filter("w1 IS NULL").select("lang", F.col("n").alias("n"))
     words = one.filter("w1 IS NOT NULL")
 

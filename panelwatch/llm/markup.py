@@ -24,7 +24,7 @@ ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"
 # Words in class names, ids and roles. An article inside an element of the second list counts all the same.
 NEVER = set("comment comments disqus respond replies related recommended recommendations breadcrumb breadcrumbs pagination pager share sharing "
             "social newsletter subscribe subscription signup login complementary contentinfo search form dialog".split())
-LAYOUT = set("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion cookie cookies consent gdpr "
+LAYOUT = set("ad ads adbox adslot adsbygoogle advert adverts advertisement advertising advertorial adsense banner sponsor sponsored sponsors promo promotion cookie cookies consent gdpr "
              "popup modal overlay notice notices notification notifications alert sidebar header footer nav navbar navigation menu menubar masthead "
              "topbar toolbar widget widgets".split())
 CONTENT = set("content article post story entry main".split())
