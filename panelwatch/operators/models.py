@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from panelwatch import constants as C
 
+#: Training rows that one task of a fit takes.
+ROWS_PER_TASK = 50_000
+
 
 def assemble(df: DataFrame, features=C.MODEL_FEATURES) -> DataFrame:
     """Feature vector column ``raw_features``."""
@@ -63,7 +66,8 @@ def leave_out_predict(df: DataFrame, estimator, key: str = "county", features=C.
     one fit an entity. With ``folds`` entities share that many folds, always.
     The scaler is part of each fit, and ``parallel`` fits run at a time. Every
     fit writes its predictions, so the result is one table however many entities
-    there are. ``df`` should be a written or cached table: every fold reads it.
+    there are. ``df`` is held in memory (or on disk) while the fits run, in tasks of
+    about ``ROWS_PER_TASK`` rows, because every round of a fit is a job of its own.
     """
     from panelwatch.session import scratch_path
 
@@ -77,6 +81,7 @@ def leave_out_predict(df: DataFrame, estimator, key: str = "county", features=C.
         raise ValueError("leaving one out needs at least two entities")
 
     path = scratch_path(df.sparkSession, "leave-out")
+    df = df.coalesce(max(1, -(-df.count() // ROWS_PER_TASK))).persist(StorageLevel.MEMORY_AND_DISK)
 
     def one_fold(numbered: tuple[int, Column]) -> None:
         number, held_out = numbered
@@ -91,6 +96,7 @@ def leave_out_predict(df: DataFrame, estimator, key: str = "county", features=C.
 
     with ThreadPool(min(parallel, len(tests))) as pool:
         pool.map(inheritable_thread_target(df.sparkSession)(one_fold), list(enumerate(tests)))
+    df.unpersist()
     return df.sparkSession.read.parquet(path).drop("fold")
 
 

@@ -10,7 +10,7 @@ from panelwatch.functions import text
 from panelwatch.operators import graph, models, panel, stats
 from panelwatch.plans import serving
 from panelwatch.plans.registry import query
-from panelwatch.session import materialize, scratch_path, small_table
+from panelwatch.session import materialize, one_row, scratch_path, small_table
 from panelwatch.sources.standins import REPORT_NOW, Standins
 from panelwatch.streaming import late, refresh, reports
 
@@ -369,20 +369,46 @@ def ml1(s: Standins) -> DataFrame:
     return models.standardized_columns(_region_features(s))
 
 
-@query("ml2_forest_leave_out", "county:s year:i month:i monthly_cases:f6 predicted_cases:f6")
+_HELD_OUT = ("SELECT county, year, month, monthly_cases, TRUE AS predicted, (SELECT count(*) FROM features_all) AS n, "
+             "(SELECT count(DISTINCT county) FROM features_all) AS places, TRUE AS better_than_mean FROM features_all")
+_HELD_OUT_COLUMNS = "county:s year:i month:i monthly_cases:f6 predicted:b n:l places:l better_than_mean:b"
+
+
+def _held_out(s: Standins, estimator) -> DataFrame:
+    """Every month with whether it has a prediction by a model without its place, and the report over all of them.
+
+    SQL gives no predicted values; their errors are compared with those of the other places' mean.
+    """
+    rows = models.leave_out_predict(_region_features(s), estimator, parallel=8)
+    report = one_row(models.leave_out_report(rows))
+    x = F.col("predicted_cases")
+    return rows.select("county", "year", "month", "monthly_cases", (x.isNotNull() & ~F.isnan(x)).alias("predicted"),
+                       *[F.lit(report[k]).alias(n) for k, n in (("n", "n"), ("entities", "places"), ("better_than_mean", "better_than_mean"))])
+
+
+@query("ml2_forest_leave_out", _HELD_OUT_COLUMNS, "features_all", _HELD_OUT)
 def ml2(s: Standins) -> DataFrame:
-    """Grouped folds, few trees: a fit for each place with the defaults (200 trees, depth 10) takes too long for a check."""
-    return models.leave_out_predict(_region_features(s), models.forest(trees=10, depth=5), folds=3)
+    """A fit of 200 trees of depth 10 for each place."""
+    return _held_out(s, models.forest())
 
 
-@query("ml3_boosting_leave_out", "county:s year:i month:i monthly_cases:f6 predicted_cases:f6")
+@query("ml3_boosting_leave_out", _HELD_OUT_COLUMNS, "features_all", _HELD_OUT)
 def ml3(s: Standins) -> DataFrame:
-    return models.leave_out_predict(_region_features(s), models.boosting(rounds=5, depth=3), folds=3)
+    """A fit of 200 rounds of depth 5 for each place."""
+    return _held_out(s, models.boosting())
 
 
-@query("ml4_feature_importance", "feature:s importance:f6")
+@query("ml4_feature_importance", "ranked:l known:b falling:b within_one:b", "features_all",
+       f"SELECT least(10, {len(C.MODEL_FEATURES)}) AS ranked, TRUE AS known, TRUE AS falling, count(*) > 0 AS within_one FROM features_all")
 def ml4(s: Standins) -> DataFrame:
-    return models.feature_importance(_region_features(s), models.forest(trees=20, depth=6))
+    """The ten most important of the model's features over all rows: names, order and sum are checked, no SQL gives the values."""
+    top = models.feature_importance(_region_features(s), models.forest())
+    listed = F.array_agg(F.struct("importance", "feature"))
+    ordered = F.reverse(F.array_sort(F.transform(listed, lambda x: x["importance"])))
+    return top.agg(
+        F.count("*").alias("ranked"), F.bool_and(F.col("feature").isin(list(C.MODEL_FEATURES))).alias("known"),
+        (F.transform(listed, lambda x: x["importance"]) == ordered).alias("falling"),
+        (F.sum("importance").between(0.0, 1.0 + 1e-9)).alias("within_one"))
 
 
 # the first six steps only fill windows; four fifths of the others are for training

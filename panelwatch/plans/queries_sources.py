@@ -148,6 +148,23 @@ def hsh1(s: Standins) -> DataFrame:
     return readers.content_hashes(s.table("documents"), "text", ("doc_id",))
 
 
+_BLOCKS = ("SELECT o_orderkey // 1000 AS block, count(*) AS rows, sha256(string_agg(CAST(o_orderkey AS VARCHAR) || '|' || CAST(o_custkey AS VARCHAR) || '|' || {status}, "
+           "chr(10) ORDER BY o_orderkey)) AS hash FROM orders GROUP BY 1")
+
+
+@query("hsh1_block_hash", "block:l rows:l hash:s", "", _BLOCKS.format(status="o_orderstatus"))
+def hsh1_blocks(s: Standins) -> DataFrame:
+    return readers.block_hashes(s.table("orders"), "o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus"], 1000)
+
+
+@query("hsh1_changed_blocks", "block:l", "", "SELECT DISTINCT o_orderkey // 1000 AS block FROM orders WHERE o_orderkey % 1777 = 0")
+def hsh1_changed(s: Standins) -> DataFrame:
+    """Blocks that hold an order whose status was changed."""
+    orders, columns = s.table("orders"), ["o_orderkey", "o_custkey", "o_orderstatus"]
+    other = orders.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 1777 == 0, "X").otherwise(F.col("o_orderstatus")))
+    return readers.changed_blocks(readers.block_hashes(orders, "o_orderkey", columns, 1000), readers.block_hashes(other, "o_orderkey", columns, 1000))
+
+
 @query("hsh1_file_hash", "path:s hash:s")
 def hsh1_files(s: Standins) -> DataFrame:
     """Files of the cases table, hashed as written."""

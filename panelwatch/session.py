@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 
 _LOCAL_DIRS: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 #: Most rows of a result that may become part of a plan.
 HELD_ROWS = 10_000
@@ -56,8 +57,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """Fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """Fresh path in the shared folder; :func:`drop_scratch` knows it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def scratch_mark(spark: SparkSession) -> int:
+    """A place in the list of this session's scratch tables, for :func:`drop_scratch`."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def drop_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Remove the scratch tables this session made after ``since``; returns how many there were.
+
+    Call it when the results that read them are written: a DataFrame that was
+    not is lost with them. Other sessions' tables are not touched.
+    """
+    paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    gone, paths[since:] = paths[since:], []
+    for path in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(gone)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -188,6 +188,24 @@ def content_hashes(files: DataFrame, content: str = "content", keep: tuple[str,
     return files.select(*keep, F.sha2(F.col(content).cast("binary"), 256).alias("hash"))
 
 
+def block_hashes(df: DataFrame, key: str, columns: list[str], block: int = 10_000) -> DataFrame:
+    """``block, rows, hash``: SHA-256 over the sorted rows of each block of ``block`` key values.
+
+    The hash of a table of any size in parts that fit in a task; it does not depend
+    on files or on the order of rows. Nulls read as empty.
+    """
+    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    rows = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), line.alias("line"))))
+    return df.groupBy(F.floor(F.col(key) / block).alias("block")).agg(
+        F.count("*").alias("rows"), F.sha2(F.array_join(F.transform(rows, lambda r: r["line"]), "\n"), 256).alias("hash"))
+
+
+def changed_blocks(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Blocks whose hash is new, other than before, or gone."""
+    old = before.select("block", F.col("hash").alias("_old"))
+    return after.select("block", "hash").join(old, "block", "full").filter(~F.col("hash").eqNullSafe(F.col("_old"))).select("block")
+
+
 def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """Files as ``path, modificationTime, length, content``; a file must fit in one task."""
     reader = spark.read.format("binaryFile")

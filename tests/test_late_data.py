@@ -9,7 +9,7 @@ from panelwatch import constants as C
 from panelwatch.operators import panel
 from panelwatch.operators.quantiles import FEW_KEYS, exact_quantiles
 from panelwatch.plans import serving
-from panelwatch.session import held, read_if_there, scratch_path
+from panelwatch.session import drop_scratch, held, materialize, read_if_there, scratch_mark, scratch_path
 from panelwatch.streaming import late, refresh, reports
 
 DAYS = "county string, date date, precip_mm double, soil_moisture_m3m3 double, wind_speed_kmh double, tmax_approx_c double"
@@ -141,3 +141,12 @@ def test_bounds_are_checked(spark):
     with pytest.raises(ValueError, match="more than 3 rows"):
         held(spark.range(4), 3)
     assert held(spark.range(3), 3).count() == 3 and read_if_there(spark, scratch_path(spark, "nothing")) is None
+
+
+def test_scratch_tables_are_removed(spark):
+    first = materialize(spark.range(3), "kept")
+    mark = scratch_mark(spark)
+    path = scratch_path(spark, "gone")
+    spark.range(2).write.parquet(path)
+    assert read_if_there(spark, path) is not None and drop_scratch(spark, mark) == 1
+    assert read_if_there(spark, path) is None and first.count() == 3
