@@ -41,6 +41,7 @@ STRONG, STRONG_SHARE = 5, 0.5
 WEAK, WEAK_SHARE = 3, 0.25
 #: Text of a host beyond which it is dealt into shards, and text of one suffix array.
 HOST_BYTES = 4 << 20
+SALTS = 16
 MARK = "\x01"
 ODD = np.uint64(0xD6E8FEB86659FD93)
 ODD_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -211,8 +212,11 @@ def boilerplate(pages: DataFrame, host_bytes: int = HOST_BYTES) -> DataFrame:
                .select("host", "shard", "page", "stream").repartition("host", "shard").sortWithinPartitions("host", "shard"))
     runs = written(sharded.mapInArrow(run_task(host_bytes), "host string, run long, pages long")
                    .groupBy("host", "run").agg(F.sum("pages").alias("pages")), "runs")
-    distinct = runs.filter("run = 0").select("host", F.col("pages").alias("distinct"))
-    judged = (runs.filter("run <> 0").filter(F.col("pages") >= WEAK).join(distinct, "host")
+    # a host with very many runs is dealt over the salts
+    distinct = (runs.filter("run = 0").select("host", F.col("pages").alias("distinct"))
+                .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    salted = runs.filter("run <> 0").filter(F.col("pages") >= WEAK).withColumn("salt", F.pmod("run", F.lit(SALTS)).cast("int"))
+    judged = (salted.join(distinct, ["host", "salt"])
               .filter(F.col("pages") >= F.col("distinct") * WEAK_SHARE)
               .withColumn("strong", (F.col("pages") >= STRONG) & (F.col("pages") >= F.col("distinct") * STRONG_SHARE)))
     # a run that a quarter of the pages hold: at most four times the runs of one page, whatever the host's size
