@@ -8,10 +8,11 @@ runs are merged by Spark per language and phrase: the whole phrase is the partit
 begin with one very common pair are dealt over all tasks.
 
 A phrase can only occur ``least`` times if its words and pairs do. So the pair pass leaves out pairs of rare words, and
-pairs whose slot among 2^24 counters (a pass of its own) stays below ``least``, and the triple pass triples of rare pairs.
-What is common is known from bitmaps of fixed size (2 MB), built by a distributed OR; a wrong hit in a bitmap only means
+the triple pass triples of rare pairs; and both leave out phrases whose slot among 2^26 counters (a pass of its own over
+the texts, counters of one byte in each task) stays below ``least``. What is common is known from bitmaps of fixed size
+(2 and 8 MB), built by a distributed OR; a wrong hit in a bitmap only means
 that a rare phrase is counted and dropped afterwards. Nothing else is sent to all tasks, and no result depends on the
-bitmaps: with more pairs than the counters tell apart, more of them are counted.
+bitmaps: with more phrases than the counters tell apart, more of them are counted.
 
 Defined results: null texts are empty, a null language is ``und``; words may be of any length; repeated rows count each;
 an empty table gives an empty result; scores are exact (decimals of 38 digits); ties are ordered by count, then by the
@@ -40,7 +41,9 @@ BURST, HELD, WORDS = 4096, 300_000, 250_000
 BATCH = 50_000
 #: A phrase is packed into 63 bits, 21 for each word id of the task.
 ID_BITS = 21
-SLOT_BITS = 24
+ID = (1 << ID_BITS) - 1
+SLOT_BITS = 26
+FULL = 255
 SEPARATOR = 0
 
 _FROM = bytes(range(65, 91)) + b".,;:!?\x0a\x0b\x0c\x0d\x09"
@@ -107,6 +110,7 @@ class Counter:
     def __init__(self, width: int, bitmaps: tuple, burst: int, held: int, words: int):
         self.width, self.burst, self.held, self.limit = width, burst, held, words
         self.bitmap, self.slots = bitmaps
+        self.sums = None
         self.trees, self.words, self.common, self.good, self.total, self.size = {}, {}, {}, {}, {}, 0
 
     def hashes(self, lang: str, words: Words) -> np.ndarray:
@@ -136,23 +140,23 @@ class Counter:
             own = self.hashes(lang, words)
             good = self.good.get(lang, np.zeros(2, bool))[ids] & solid
             at = np.flatnonzero(good[:-1] & good[1:])
-            pairs, counts = np.unique(ids[at] << ID_BITS | ids[at + 1], return_counts=True)
-            slot = slot_of(joined_hashes(own[pairs >> ID_BITS], own[pairs & (1 << ID_BITS) - 1]))
-            if self.slots is None:
-                np.add.at(self.sums, slot, counts.astype(np.int32))
-                return
-            often = (self.slots[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
-            self.put(lang, pairs[often] << shift(1), counts[often])
-            return
+            keys = ids[at] << shift(0) | ids[at + 1] << shift(1)
         else:
             at = np.flatnonzero(solid[:-1] & solid[1:])
             pairs, place = np.unique(ids[at] << ID_BITS | ids[at + 1], return_inverse=True)
             common = np.zeros(len(ids), bool)
             own = self.hashes(lang, words)
-            common[at] = in_bitmap(self.bitmap, joined_hashes(own[pairs >> ID_BITS], own[pairs & (1 << ID_BITS) - 1]))[place.reshape(-1)]
+            common[at] = in_bitmap(self.bitmap, joined_hashes(own[pairs >> ID_BITS], own[pairs & ID]))[place.reshape(-1)]
             at = np.flatnonzero(common[:-1] & common[1:])
             keys = ids[at] << shift(0) | ids[at + 1] << shift(1) | ids[at + 2]
-        self.put(lang, *np.unique(keys, return_counts=True))
+        keys, counts = np.unique(keys, return_counts=True)
+        slot = slot_of(joined_hashes(own[keys >> shift(0)], own[keys >> shift(1) & ID]), own[keys & ID] if self.width == 3 else None)
+        if self.sums is not None:
+            slot, place = np.unique(slot, return_inverse=True)
+            self.sums[slot] = np.minimum(self.sums[slot] + np.bincount(place.reshape(-1), counts, len(slot)), FULL)
+            return
+        often = (self.slots[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+        self.put(lang, keys[often], counts[often])
 
     def put(self, lang: str, keys: np.ndarray, counts: np.ndarray) -> None:
         if len(keys):
@@ -234,7 +238,8 @@ def seed_task(width: int):
     return run
 
 
-def slot_of(hashes: np.ndarray) -> np.ndarray:
+def slot_of(pair: np.ndarray, third: np.ndarray | None) -> np.ndarray:
+    hashes = pair if third is None else joined_hashes(pair, third)
     return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
@@ -256,11 +261,11 @@ def each_piece(batches):
             yield from ((lang, piece) for piece in pieces_of(b"\n".join(texts)))
 
 
-def slot_task(shared, words: int):
-    """(slot, n): pairs of common words per slot, added up in the task."""
+def slot_task(width: int, shared, words: int):
+    """(slot, n): phrases of common parts per slot, added up in the task as far as a byte holds."""
     def run(batches):
-        counter = Counter(2, shared.value, BURST, 0, words)
-        counter.sums = np.zeros(1 << SLOT_BITS, np.int32)
+        counter = Counter(width, shared.value, BURST, 0, words)
+        counter.sums = np.zeros(1 << SLOT_BITS, np.uint8)
         for lang, piece in each_piece(batches):
             counter.add(lang, piece)
             if sum(map(len, counter.words.values())) > words:
@@ -268,15 +273,16 @@ def slot_task(shared, words: int):
         there = np.flatnonzero(counter.sums)
         for at in range(0, len(there), 1 << 17):
             some = there[at:at + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counter.sums[some])], names=["slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counter.sums[some].astype(np.int32))], names=["slot", "n"])
     return run
 
 
-def slot_bitmap(texts: DataFrame, shared, least: int, words: int) -> np.ndarray:
-    """Bitmap of the slots with at least ``least`` pairs: 2^21 bytes."""
-    sums = texts.mapInArrow(slot_task(shared, words), "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+def slot_bitmap(texts: DataFrame, width: int, shared, least: int, words: int) -> np.ndarray:
+    """Bitmap of the slots with at least ``least`` phrases: 2^23 bytes. A full byte counts as enough."""
+    sums = (texts.mapInArrow(slot_task(width, shared, words), "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n"))
+            .filter(F.col("n") >= min(least, FULL)))
     rows = (sums.select(F.shiftright("slot", 5).alias("word"), F.expr("shiftleft(1L, slot & 31)").alias("bit"))
-            .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())  # at most 2^19 rows
+            .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())  # at most 2^21 rows
     out = np.zeros(1 << SLOT_BITS - 5, np.uint32)
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint32)
     return out.view(np.uint8)
@@ -318,7 +324,7 @@ def phrase_counts(texts: DataFrame, width: int, common: DataFrame | None = None,
     if common is not None:
         seeds = common.filter("w1 IS NOT NULL").mapInArrow(seed_task(width - 1), "seed long")
         context, bitmap = texts.sparkSession.sparkContext, bitmap_of(seeds)
-        slots_often = slot_bitmap(texts, context.broadcast((bitmap, None)), least, words) if width == 2 else None
+        slots_often = slot_bitmap(texts, width, context.broadcast((bitmap, None)), least, words)
         shared = context.broadcast((bitmap, slots_often))
     runs = texts.mapInArrow(count_task(width, shared, burst, held, words), SCHEMA)
     return runs.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
