@@ -13,7 +13,7 @@ leaves at most k rows a query; the k best of all blocks are taken with partial s
 
 Defined results: vectors that are null, empty of ids, or hold null or non-finite components take no part; components
 are floor(scale * x) as far as a long holds them (+-2^62 beyond that); scores are exact, with whole numbers of any size
-where products do not fit 64 bits, and a final score that no long holds is given as the nearest long; of vectors of
+where products do not fit 64 bits, and scores that no long holds are given as the nearest long and tie; of vectors of
 different length the missing components count 0; an empty vector scores 0 with all; the query's own id is no candidate; repeated (id, vector) rows
 count once, and an id with several vectors counts with its best; ties go to the smaller id; fewer than k candidates
 give fewer rows; further columns are left alone.
