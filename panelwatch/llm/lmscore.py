@@ -7,15 +7,14 @@ Base score: exact counts. All training tokens are counted by hash with sums in e
 score is added where the text is read. All other tokens go to their counts by a join on the hash; such a token makes up
 less than a millionth of all tokens, so no key of that join is large. What comes back is summed per text.
 
-Model: a Bloom filter that holds n-grams with quantised counts: an n-gram of count c is inserted with the levels 1 to
-1 + log2(c / least count), and a count is read by probing level after level until one is missing. It holds single tokens of at
-least the share ``held_token`` and pairs of neighbouring tokens of at least the share ``held_pair``, both of whose
-tokens have at least the share ``pair_token``. All three are shares of the training tokens, the same at every size, so
-the filter has a fixed largest size (1e7 tokens and 1e7 pairs of a few levels each, 2^30 bits); its bits are set by a
-distributed OR. Probabilities: a token's is its quantised count over the sum of all, where all rarer and unknown tokens
-share the rest equally; given the token before, the pair's share of that token's count is added to the token's own
-probability times what the held pairs leave over (their sum per first token is in the filter too), with ``strength``
-more counts for what was not seen.
+Model: the count of a token after another, added to ``strength`` times the token's base probability, over the count of the
+token before plus ``strength``. No n-gram is left out. A Bloom filter holds the common ones with quantised counts: an n-gram
+of count c is inserted with the levels 1 to 1 + log2(c / least count), and a count is read by probing level after level until
+one is missing. It holds pairs of neighbouring tokens of at least the share ``held_pair``, both of whose tokens have at least
+the share ``pair_token``; shares of the training tokens, so the filter has a fixed largest size (1e7 pairs of a few levels
+each, 2^30 bits); its bits are set by a distributed OR. Tokens have their exact counts, and all other pairs go to their
+exact counts by the join that also serves the base score, so a pair never counts more than its first token. The logarithm is a sum of one part
+for each token and one for each pair, so the parts are added up per text wherever they come from.
 
 Defined results: null and empty texts have one token, the end; rows with a null id are learned from; without any
 training row all probabilities are 1 (score 0); repeated rows count and are scored each; further columns are left alone.
@@ -36,7 +35,6 @@ from panelwatch.llm.common import fold, written
 END = np.uint64(0x5851F42D4C957F2D)
 FREQUENT = 1e-6
 PAIR_TOKEN = 2e-5
-HELD_TOKEN = 1e-7
 HELD_PAIR = 1e-7
 STRENGTH = 500.0
 PROBES = 4
@@ -44,7 +42,6 @@ BITS_PER_ENTRY = 12
 TASK_TOKENS = 4_000_000
 #: Pair tokens have the share 2e-5, so they are at most 50,000 and numbers of 20 bits hold them.
 PAIR_SHIFT = 20
-FOLLOWED = 1 << 41
 
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,29 +83,48 @@ def numbers(table: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 def pair_codes(table: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Code of each token with the one before it, -1 if the table lacks one of them; the end token stands before a text."""
     number = numbers(table, tokens)
-    before = np.concatenate([numbers(table, np.array([END])), number[:-1]])  # a text follows the end of another
-    return np.where((number >= 0) & (before >= 0), (before << PAIR_SHIFT) + number, -1)
+    first = np.concatenate([numbers(table, np.array([END])), number[:-1]])
+    return np.where((number >= 0) & (first >= 0), (first << PAIR_SHIFT) + number, -1)
+
+
+def before(tokens: np.ndarray) -> np.ndarray:
+    """The token before each one; the end token stands before a text, which follows the end of another."""
+    return np.concatenate([[END], tokens[:-1]])
+
+
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One hash for two neighbouring tokens, other ones than those of tokens."""
+    return textops.mix(textops.mix(first + textops.GOLD) ^ second)
 
 
 def pair_task(shared):
+    """(token, last, code, n) of all pairs: hashes of the pair and of its second token, and the filter's code or -1."""
+    def given(parts):
+        first, last = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        hashes, at, n = np.unique(pair_hashes(first, last), return_index=True, return_counts=True)
+        own = np.concatenate([p[2] for p in parts])[at]
+        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(last[at].view(np.int64)), pa.array(own), pa.array(n, pa.int64())], names=["token", "last", "code", "n"])
+
     def run(batches):
-        table = shared.value
-
-        def codes():
-            for part in textops.slices(batches, "text"):
-                tokens, _ = tokens_of(part.column("text"))
-                codes = pair_codes(table, tokens)
-                yield codes[codes >= 0]
-        yield from gathered(codes(), "token")
+        table, parts, size = shared.value, [], 0
+        for part in textops.slices(batches, "text"):
+            tokens, _ = tokens_of(part.column("text"))
+            parts.append((before(tokens), tokens, pair_codes(table, tokens)))
+            size += len(tokens)
+            if size >= TASK_TOKENS:
+                yield given(parts)
+                parts, size = [], 0
+        if parts:
+            yield given(parts)
     return run
 
 
 @dataclass
 class Model:
     bits: np.ndarray  # the filter, in 64-bit words
-    least: tuple[float, float]  # least counts of tokens and of pairs
-    total: float  # sum of the quantised counts and of the rest
-    rest: float  # probability of each token that the filter does not hold
+    least: tuple[float, float]  # least counts of tokens (not held by queries) and of pairs
+    total: float  # training tokens and what smoothing adds
+    strength: float
     pair_tokens: np.ndarray  # sorted hashes of the tokens that form pairs
 
 
@@ -157,65 +173,64 @@ def counts_from(model: Model, codes: np.ndarray, pair: bool) -> np.ndarray:
     return value_of(level, model.least[1] if pair else model.least[0])
 
 
-def log_probabilities(model: Model, tokens: np.ndarray, strength: float) -> np.ndarray:
-    """log10 probability of each token given the one before."""
-    distinct, place = np.unique(tokens, return_inverse=True)
-    own = counts_from(model, distinct, False)
-    single = np.where(own > 0, own / model.total, model.rest)
-    end = counts_from(model, np.array([END]), False)
-    context = np.concatenate([end, own[place[:-1]]])
+def held_pairs(model: Model, tokens: np.ndarray, table: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Is the pair that ends at each token in the filter, and its part of the score."""
     codes, at = np.unique(pair_codes(model.pair_tokens, tokens), return_inverse=True)
     pair = np.where(codes >= 0, counts_from(model, codes.view(np.uint64), True), 0)[at]
-    number = numbers(model.pair_tokens, distinct)
-    after = np.where(number >= 0, counts_from(model, (number + FOLLOWED).view(np.uint64), True), 0)
-    end_number = numbers(model.pair_tokens, np.array([END]))
-    end_after = np.where(end_number >= 0, counts_from(model, (end_number + FOLLOWED).view(np.uint64), True), 0)
-    followed = np.minimum(np.concatenate([end_after, after[place[:-1]]]), context)
-    free = (context - followed + strength) / (context + strength)
-    return np.log10(np.minimum(pair, context) / (context + strength) + free * single[place])
+    held, more = pair > 0, np.zeros(len(tokens))
+    first, second = (exact[numbers(table, x[held])] for x in (before(tokens), tokens))  # tokens of held pairs are frequent
+    more[held] = np.log10(1 + np.minimum(pair[held], first) * model.total / (model.strength * (second + 0.5)))
+    return held, more
 
 
-def score_task(model_shared, exact_shared, strength):
-    """Per text: tokens, the exact part of its frequent tokens, and the model's score."""
+def score_task(model_shared, exact_shared):
+    """Per text: tokens, the exact part of its frequent tokens, and the filter's part of the model's score."""
     def run(batches):
         model, (table, exact) = model_shared.value, exact_shared.value
-        value = np.log10(exact + 0.5)
+        value, follows = np.log10(exact + 0.5), np.log10(model.strength / (exact + model.strength))
         for part in textops.slices(batches, "text"):
             tokens, counts = tokens_of(part.column("text"))
             begins = np.cumsum(counts) - counts
             number = numbers(table, tokens)
             known = number >= 0
             frequent = np.where(known, value[number] if len(value) else 0.0, 0.0)
-            score = log_probabilities(model, tokens, strength)
+            score = held_pairs(model, tokens, table, exact)[1] + np.where(known, follows[number] if len(value) else 0.0, 0.0)
             yield pa.RecordBatch.from_arrays(
                 [part.column("key"), part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(np.add.reduceat(known.astype(np.int64), begins)),
                  pa.array(np.add.reduceat(frequent, begins)), pa.array(np.add.reduceat(score, begins))],
-                names=["key", "doc_id", "n_tokens", "n_frequent", "frequent_sum", "score"])
+                names=["key", "doc_id", "n_tokens", "n_frequent", "frequent_sum", "held_sum"])
     return run
 
 
-def rare_task(exact_shared):
-    """(key, doc_id, token, times) of the tokens that are not broadcast; one row with 0 times for each text."""
+#: What a row of the join asks for: nothing (one row for each text), a token or a pair.
+NOTHING, TOKEN, PAIR = range(3)
+
+
+def rare_task(model_shared, exact_shared):
+    """(key, doc_id, token, times, asks) of the tokens and pairs that are not at hand; one row that asks nothing for each text."""
     def run(batches):
-        table, _ = exact_shared.value
+        model, (table, exact) = model_shared.value, exact_shared.value
         for part in textops.slices(batches, "text"):
             tokens, counts = tokens_of(part.column("text"))
             rows = textops.row_of(counts)
-            rare = numbers(table, tokens) < 0
-            rows, tokens = rows[rare], tokens[rare]
-            order = np.lexsort((tokens, rows))
-            rows, tokens = rows[order], tokens[order]
+            rare, apart = numbers(table, tokens) < 0, ~held_pairs(model, tokens, table, exact)[0]
+            rows, codes, asks = (np.concatenate(x) for x in (
+                (rows[rare], rows[apart]), (tokens[rare], pair_hashes(before(tokens)[apart], tokens[apart])),
+                (np.full(int(rare.sum()), TOKEN), np.full(int(apart.sum()), PAIR))))
+            order = np.lexsort((codes, rows))
+            rows, codes, asks = rows[order], codes[order], asks[order]
             first = np.ones(len(rows), bool)
-            first[1:] = (rows[1:] != rows[:-1]) | (tokens[1:] != tokens[:-1])
+            first[1:] = (rows[1:] != rows[:-1]) | (codes[1:] != codes[:-1])
             at = np.flatnonzero(first)
             times = np.diff(np.append(at, len(rows)))
             every = np.arange(part.num_rows)
             key = part.column("key").to_numpy()
             row = np.concatenate([rows[at], every])
+            none = np.zeros(part.num_rows, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[row]), part.column("doc_id").take(pa.array(row)), pa.array(np.concatenate([tokens[at].view(np.int64), key])),
-                 pa.array(np.concatenate([times, np.zeros(part.num_rows, np.int64)]).astype(np.int32))],
-                names=["key", "doc_id", "token", "times"])
+                [pa.array(key[row]), part.column("doc_id").take(pa.array(row)), pa.array(np.concatenate([codes[at].view(np.int64), key])),
+                 pa.array(np.concatenate([times, none]).astype(np.int32)), pa.array(np.concatenate([asks[at], none]).astype(np.int32))],
+                names=["key", "doc_id", "token", "times", "asks"])
     return run
 
 
@@ -229,7 +244,7 @@ def build_filter(grams: DataFrame, entries: int, least: tuple[float, float]) ->
 
 
 def score_texts(docs: DataFrame, learn: Column, frequent: float = FREQUENT, pair_token: float = PAIR_TOKEN,
-                held_token: float = HELD_TOKEN, held_pair: float = HELD_PAIR, strength: float = STRENGTH) -> DataFrame:
+                held_pair: float = HELD_PAIR, strength: float = STRENGTH) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row; ``learn`` says which rows train."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -245,37 +260,36 @@ def score_texts(docs: DataFrame, learn: Column, frequent: float = FREQUENT, pair
     exact_shared = spark.sparkContext.broadcast((tokens, exact))
     pair_table = tokens[exact >= pair_token * total]
     pair_tokens = spark.sparkContext.broadcast(pair_table)
-    least = (max(1.0, held_token * total), max(1.0, held_pair * total))
-    pairs = written(train.mapInArrow(pair_task(pair_tokens), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least[1]), "pairs")
-    followed = pairs.groupBy((F.shiftright("token", PAIR_SHIFT) + FOLLOWED).alias("token")).agg(F.sum("n").alias("n"))
-    grams = (pairs.union(followed).select("token", "n", F.lit(True).alias("pair"))
-             .union(counts.filter(F.col("c") >= least[0]).select("token", F.col("c").alias("n"), F.lit(False).alias("pair"))))
-    start = F.when(F.col("pair"), F.lit(least[1])).otherwise(F.lit(least[0]))
-    level = 1 + F.floor(F.log2(F.col("n") / start) + 1e-9)
-    single = F.when(~F.col("pair"), 1)
-    entries, kinds, true_sum, held = grams.select("*", level.alias("level")).agg(
-        F.coalesce(F.sum("level"), F.lit(0)), F.count(single), F.coalesce(F.sum(single * F.col("n")), F.lit(0)),
-        F.coalesce(F.sum(single * F.lit(least[0] * 1.4) * F.pow(F.lit(2.0), F.col("level") - 1)), F.lit(0.0))).first()
-    rest = float(total - true_sum)
-    # rarer training tokens and as many unseen ones share what the filter does not hold
-    everything = held + rest + 1
-    model = Model(build_filter(grams, entries, least), least, everything, (rest + 1) / everything / (2 * (distinct - kinds) + 1), pair_table)
-    model_shared = spark.sparkContext.broadcast(model)
+    least = (1.0, max(1.0, held_pair * total))
+    pairs = written(train.mapInArrow(pair_task(pair_tokens), "token long, last long, code long, n long").groupBy("token", "last", "code").agg(F.sum("n").alias("n")), "pairs")
+    common = pairs.filter((F.col("code") >= 0) & (F.col("n") >= least[1]))
+    grams = common.select(F.col("code").alias("token"), "n", F.lit(True).alias("pair"))
+    level = 1 + F.floor(F.log2(F.col("n") / F.lit(least[1])) + 1e-9)
+    entries = grams.agg(F.coalesce(F.sum(level), F.lit(0))).first()[0]
+    smooth = float(total + 0.5 * (distinct + 1))
+    model_shared = spark.sparkContext.broadcast(Model(build_filter(grams, entries, least), least, smooth, strength, pair_table))
     keyed = texts.select(F.xxhash64("text").alias("key"), "doc_id", "text")
-    scored = written(keyed.mapInArrow(score_task(model_shared, exact_shared, strength),
-                                      f"key long, doc_id {kind}, n_tokens long, n_frequent long, frequent_sum double, score double"), "scored")
-    rare = keyed.mapInArrow(rare_task(exact_shared), f"key long, doc_id {kind}, token long, times int")
-    found = (rare.join(counts, "token", "left").groupBy("key", "doc_id")
-             .agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_sum"),
-                  F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-                  F.sum(F.when(F.col("times") == 0, 1).otherwise(0)).alias("rows")))
+    scored = written(keyed.mapInArrow(score_task(model_shared, exact_shared),
+                                      f"key long, doc_id {kind}, n_tokens long, n_frequent long, frequent_sum double, held_sum double"), "scored")
+    rare = keyed.mapInArrow(rare_task(model_shared, exact_shared), f"key long, doc_id {kind}, token long, times int, asks int")
+    # every pair's part, with the exact count of its second token
+    last = counts.select(F.col("token").alias("last"), "c")
+    apart = pairs.join(last, "last").select("token", F.lit(None).cast("long").alias("c"), F.log10(1 + F.col("n") * smooth / (strength * (F.col("c") + 0.5))).alias("more"))
+    known = counts.select("token", "c", F.log10(strength / (F.col("c") + strength)).alias("more")).union(apart)
+
+    base = F.col("asks") == TOKEN
+    found = (rare.join(known, "token", "left").groupBy("key", "doc_id")
+             .agg(F.sum(F.when(base, F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).otherwise(0.0)).alias("rare_sum"),
+                  F.sum(F.when(base & (F.col("c") > 0), F.col("times")).otherwise(0)).alias("rare_known"),
+                  F.sum(F.when(F.col("asks") != NOTHING, F.col("times") * F.coalesce("more", F.lit(0.0))).otherwise(0.0)).alias("rare_more"),
+                  F.sum(F.when(F.col("asks") == NOTHING, 1).otherwise(0)).alias("rows")))
     same = scored["key"].eqNullSafe(found["key"]) & scored["doc_id"].eqNullSafe(found["doc_id"])
-    norm = float(np.log10(total + 0.5 * (distinct + 1)))
+    norm = float(np.log10(smooth))
+    base_score = F.col("frequent_sum") + F.col("rare_sum") / F.col("rows") - F.col("n_tokens") * norm
     return scored.join(found, same).select(
         scored["doc_id"], "n_tokens", (F.col("n_frequent") + (F.col("rare_known") / F.col("rows")).cast("long")).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("frequent_sum") + F.col("rare_sum") / F.col("rows") - F.col("n_tokens") * norm).alias("base_score"),
-        F.when(F.lit(total > 0), F.col("score")).otherwise(0.0).alias("score"))
+        F.lit(total).cast("long").alias("train_tokens"), base_score.alias("base_score"),
+        F.when(F.lit(total > 0), base_score + F.col("held_sum") + F.col("rare_more") / F.col("rows")).otherwise(0.0).alias("score"))
 
 
 def held_out() -> Column:
