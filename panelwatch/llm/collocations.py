@@ -43,6 +43,8 @@ BATCH = 50_000
 ID_BITS = 21
 ID = (1 << ID_BITS) - 1
 SLOT_BITS = 26
+#: Counters travel in blocks of 2^16: two bytes of place and one of count for each that is not 0.
+BLOCK = 1 << 16
 FULL = 255
 SEPARATOR = 0
 
@@ -262,7 +264,7 @@ def each_piece(batches):
 
 
 def slot_task(width: int, shared, words: int):
-    """(slot, n): phrases of common parts per slot, added up in the task as far as a byte holds."""
+    """(block, places, counts): phrases of common parts per slot, added up in the task as far as a byte holds."""
     def run(batches):
         counter = Counter(width, shared.value, BURST, 0, words)
         counter.sums = np.zeros(1 << SLOT_BITS, np.uint8)
@@ -270,22 +272,38 @@ def slot_task(width: int, shared, words: int):
             counter.add(lang, piece)
             if sum(map(len, counter.words.values())) > words:
                 counter.words, counter.common, counter.good = {}, {}, {}
-        there = np.flatnonzero(counter.sums)
-        for at in range(0, len(there), 1 << 17):
-            some = there[at:at + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counter.sums[some].astype(np.int32))], names=["slot", "n"])
+        for block, sums in enumerate(counter.sums.reshape(-1, BLOCK)):
+            there = np.flatnonzero(sums)
+            if len(there):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int32()), pa.array([there.astype("<u2").tobytes()], pa.binary()), pa.array([sums[there].tobytes()], pa.binary())],
+                    names=["block", "places", "counts"])
+    return run
+
+
+def often_task(least: int):
+    """(block, bits): which counters of a block reach ``least`` over all tasks. One byte a counter is held."""
+    def run(batches):
+        sums = {}
+        for batch in batches:
+            for block, places, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "places", "counts"))):
+                held = sums.setdefault(block, np.zeros(BLOCK, np.uint8))
+                at = np.frombuffer(places, "<u2")
+                held[at] = np.minimum(held[at].astype(np.int32) + np.frombuffer(counts, np.uint8), FULL)
+        for block, held in sums.items():
+            bits = np.packbits(held >= least, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([bits], pa.binary())], names=["block", "bits"])
     return run
 
 
 def slot_bitmap(texts: DataFrame, width: int, shared, least: int, words: int) -> np.ndarray:
     """Bitmap of the slots with at least ``least`` phrases: 2^23 bytes. A full byte counts as enough."""
-    sums = (texts.mapInArrow(slot_task(width, shared, words), "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n"))
-            .filter(F.col("n") >= min(least, FULL)))
-    rows = (sums.select(F.shiftright("slot", 5).alias("word"), F.expr("shiftleft(1L, slot & 31)").alias("bit"))
-            .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())  # at most 2^21 rows
-    out = np.zeros(1 << SLOT_BITS - 5, np.uint32)
-    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint32)
-    return out.view(np.uint8)
+    sums = texts.mapInArrow(slot_task(width, shared, words), "block int, places binary, counts binary").repartition("block")
+    rows = sums.mapInArrow(often_task(min(least, FULL)), "block int, bits binary").toArrow()  # at most 2^10 rows of 8 KB
+    out = np.zeros(1 << SLOT_BITS - 3, np.uint8)
+    for block, bits in zip(rows.column("block").to_pylist(), rows.column("bits").to_pylist()):
+        out[block * (BLOCK // 8):(block + 1) * (BLOCK // 8)] = np.frombuffer(bits, np.uint8)
+    return out
 
 
 def count_task(width: int, shared, burst: int, held: int, words: int):

@@ -227,3 +227,20 @@ def test_main_text_keeps_articles(spark, data):
         m = re.search(r"<article>(.*?)(?:</article>|\Z)", html, re.S)
         return " ".join(unescape(re.sub(r"<[^>]+>", lambda t: "" if t.group() in ("<b>", "</b>") else " ", m.group(1))).split())
     assert [got[i] for i in table.page_id] == [article(h) for h in table.html]
+
+
+def test_counters_of_blocks_are_added_up(spark):
+    """Counters travel as one row for each block, not one for each slot, and add up over tasks to full bytes."""
+    context = spark.sparkContext
+    texts = spark.createDataFrame([("en", "los gatos negros")] * 12 + [("en", "un perro")] * 3 + [("en", "x y " * 3000)], "lang string, text string").repartition(4)
+    one = collocations.phrase_counts(texts, 1)
+    bitmap = collocations.bitmap_of(one.filter("w1 IS NOT NULL").mapInArrow(collocations.seed_task(1), "seed long"))
+    rows = texts.mapInArrow(collocations.slot_task(2, context.broadcast((bitmap, None)), 1000), "block int, places binary, counts binary").collect()
+    assert len(rows) <= 4 * 5 and all(len(r.places) == 2 * len(r.counts) for r in rows)
+    often = collocations.slot_bitmap(texts, 2, context.broadcast((bitmap, None)), 10, 1000)
+
+    def slot(a, b):
+        return int(collocations.slot_of(collocations.joined_hashes(*(collocations.word_hashes("en", [w]) for w in (a, b))), None)[0])
+
+    want = {slot(b"los", b"gatos"), slot(b"gatos", b"negros"), slot(b"x", b"y"), slot(b"y", b"x")}
+    assert set(np.flatnonzero(np.unpackbits(often, bitorder="little")).tolist()) == want
