@@ -50,39 +50,44 @@ def keyed_texts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame
     return base.withColumn("key", F.unhex(F.sha2("text", 256))).withColumn("seed", F.xxhash64("lang", "key"))
 
 
-def chosen_task(shared, repeated: bool):
+def chosen(batches, bitmap: np.ndarray, repeated: bool):
     """The rows whose hash is in the bitmap of repeated texts, or all others."""
+    for batch in batches:
+        hit = np.ones(batch.num_rows, bool)
+        for slot in slots(batch.column("seed").to_numpy().view(np.uint64)):
+            hit &= (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+        yield batch.filter(pa.array(hit == repeated))
+
+
+def chosen_task(shared):
+    """The rows of texts that may occur again."""
     def run(batches):
-        bitmap = shared.value
-        for batch in batches:
-            hit = np.ones(batch.num_rows, bool)
-            for slot in slots(batch.column("seed").to_numpy().view(np.uint64)):
-                hit &= (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
-            yield batch.filter(pa.array(hit == repeated))
+        yield from chosen(batches, shared.value, True)
     return run
 
 
-def collapsed(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """(lang, text, sources): each different text of a language once, with the number of its rows per source.
+def collapsed(keyed: DataFrame, shared) -> DataFrame:
+    """(lang, text, sources): each text that occurs again, once a language, with the number of its rows per source.
 
     Only texts that may occur again are shuffled: the hashes of the keys that do are in a bitmap of fixed size (2 MB).
     A text that is taken for a repeated one by mistake just forms a group of its own.
     """
-    keyed = keyed_texts(docs, text, lang, source)
-    again = keyed.groupBy("lang", "key", "seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(again))
-    once, often = (keyed.mapInArrow(chosen_task(shared, repeated), keyed.schema) for repeated in (False, True))
-    single = once.select("lang", "text", F.array(F.struct("source", F.lit(1).cast("long").alias("n"))).alias("sources"))
+    often = keyed.mapInArrow(chosen_task(shared), keyed.schema)
     each = often.groupBy("lang", "key", "source").agg(F.count("*").alias("n"))
     # one entry per source at most, however many rows there are
     sources = each.groupBy("lang", "key").agg(F.collect_list(F.struct("source", "n")).alias("sources"))
     texts = often.groupBy("lang", "key").agg(F.first("text").alias("text"))
-    return single.unionByName(texts.join(sources, ["lang", "key"]).select("lang", "text", "sources"))
+    return texts.join(sources, ["lang", "key"]).select("lang", "text", "sources")
 
 
-def term_task(held: int):
-    """Weighted sums per (lang, source, term) over collapsed texts: occurrences and documents."""
+def term_task(held: int, shared=None):
+    """Weighted sums per (lang, source, term) over collapsed texts: occurrences and documents.
+
+    With a bitmap, over all texts (lang, text, source, seed) that are not in it: they are picked where they are
+    counted, as a task of their own would be a second Python process beside each of these.
+    """
     def run(batches):
+        batches = batches if shared is None else chosen(batches, shared.value, False)
         sums, size = defaultdict(dict), 0
 
         def given():
@@ -97,12 +102,13 @@ def term_task(held: int):
 
         for part in textops.slices(batches, "text"):
             texts = part.column("text").cast(pa.large_binary()).to_pylist()
-            for lang, text, sources in zip(part.column("lang").to_pylist(), texts, part.column("sources").to_pylist()):
-                own = Counter(text.translate(TABLE).split())
+            own = part.column("sources").to_pylist() if shared is None else [[{"source": s, "n": 1}] for s in part.column("source").to_pylist()]
+            for lang, text, sources in zip(part.column("lang").to_pylist(), texts, own):
+                words = Counter(text.translate(TABLE).split())
                 for s in sources:
                     group, times = sums[lang, s["source"]], s["n"]
                     document, known, before = times << 63, group.get, len(group)
-                    for term, n in own.items():
+                    for term, n in words.items():
                         group[term] = known(term, 0) + n * times + document
                     size += len(group) - before
                     if size > held:
@@ -114,7 +120,11 @@ def term_task(held: int):
 
 def kept_terms(docs: DataFrame, text: str, lang: str, source: str, least: int, held: int) -> DataFrame:
     """(lang, term, total, sources): the kept terms, their count in the language and in each source that uses them."""
-    sums = collapsed(docs, text, lang, source).mapInArrow(term_task(held), "lang string, source string, term string, n long, docs long")
+    keyed, kind = keyed_texts(docs, text, lang, source), "lang string, source string, term string, n long, docs long"
+    again = keyed.groupBy("lang", "key", "seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(again))
+    sums = (keyed.select("lang", "text", "source", "seed").mapInArrow(term_task(held, shared), kind)
+            .union(collapsed(keyed, shared).mapInArrow(term_task(held), kind)))
     each = sums.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     return (each.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("sources"))
             .filter(F.col("docs") >= least).drop("docs"))

@@ -244,3 +244,14 @@ def test_counters_of_blocks_are_added_up(spark):
 
     want = {slot(b"los", b"gatos"), slot(b"gatos", b"negros"), slot(b"x", b"y"), slot(b"y", b"x")}
     assert set(np.flatnonzero(np.unpackbits(often, bitorder="little")).tolist()) == want
+
+
+def test_single_texts_are_picked_where_they_are_counted(spark):
+    """One Python step between the texts and the sums of texts that occur once."""
+    docs = spark.createDataFrame([(i, f"word{i} common", "en", "ab"[i % 2]) for i in range(40)] + [(99, "again again", "en", "a")] * 3, SCHEMA)
+    keyed = divergence.keyed_texts(docs, "text", "lang", "source")
+    shared = spark.sparkContext.broadcast(divergence.bitmap_of(keyed.filter("text = 'again again'").select("seed")))
+    sums = keyed.select("lang", "text", "source", "seed").mapInArrow(divergence.term_task(1000, shared), "lang string, source string, term string, n long, docs long")
+    got = {(r.term, r.n) for r in sums.groupBy("term").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert got == {("common", 40), ("word", 40)}
+    assert {(r.term, r.total) for r in divergence.kept_terms(docs, "text", "lang", "source", 2, 1000).collect()} == {("common", 40), ("again", 6), ("word", 40)}
