@@ -8,7 +8,7 @@ score is added where the text is read. All other tokens go to their counts by a
 less than a millionth of all tokens, so no key of that join is large. What comes back is summed per text.
 
 Model: the count of a token after another, added to ``strength`` times the token's base probability, over the count of the
-token before plus ``strength``. No n-gram is left out. A Bloom filter holds the common ones with quantised counts: an n-gram
+token before plus ``strength``, which grows by half of what a token counts beyond ``frequent``. No n-gram is left out. A Bloom filter holds the common ones with quantised counts: an n-gram
 of count c is inserted with the levels 1 to 1 + log2(c / least count), and a count is read by probing level after level until
 one is missing. It holds pairs of neighbouring tokens of at least the share ``held_pair``, both of whose tokens have at least
 the share ``pair_token``; shares of the training tokens, so the filter has a fixed largest size (1e7 pairs of a few levels
@@ -36,7 +36,7 @@ END = np.uint64(0x5851F42D4C957F2D)
 FREQUENT = 1e-6
 PAIR_TOKEN = 2e-5
 HELD_PAIR = 1e-7
-STRENGTH = 500.0
+STRENGTH, STRENGTH_SHARE = 500.0, 0.5
 PROBES = 4
 BITS_PER_ENTRY = 12
 TASK_TOKENS = 4_000_000
@@ -97,13 +97,21 @@ def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return textops.mix(textops.mix(first + textops.GOLD) ^ second)
 
 
-def pair_task(shared):
-    """(token, last, code, n) of all pairs: hashes of the pair and of its second token, and the filter's code or -1."""
+def strength_after(count: np.ndarray, strength: float, free: float) -> np.ndarray:
+    """How many counts the base probability stands for after a token of that count."""
+    return strength + STRENGTH_SHARE * np.maximum(count - free, 0.0)
+
+
+def pair_task(shared, exact_shared, strength: float, free: float):
+    """(token, last, code, s, n) of all pairs: hashes of the pair and of its second token, the filter's code or -1, the strength."""
     def given(parts):
         first, last = (np.concatenate([p[i] for p in parts]) for i in range(2))
         hashes, at, n = np.unique(pair_hashes(first, last), return_index=True, return_counts=True)
         own = np.concatenate([p[2] for p in parts])[at]
-        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(last[at].view(np.int64)), pa.array(own), pa.array(n, pa.int64())], names=["token", "last", "code", "n"])
+        tokens, exact = exact_shared.value
+        number = numbers(tokens, first[at])
+        after = np.where(number >= 0, strength_after(exact, strength, free)[number] if len(exact) else strength, strength)
+        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(last[at].view(np.int64)), pa.array(own), pa.array(after), pa.array(n, pa.int64())], names=["token", "last", "code", "s", "n"])
 
     def run(batches):
         table, parts, size = shared.value, [], 0
@@ -126,6 +134,7 @@ class Model:
     total: float  # training tokens and what smoothing adds
     strength: float
     pair_tokens: np.ndarray  # sorted hashes of the tokens that form pairs
+    free: float = 0.0  # count from which on the strength grows
 
 
 def positions(codes: np.ndarray, level: int, size: int) -> list[np.ndarray]:
@@ -179,7 +188,8 @@ def held_pairs(model: Model, tokens: np.ndarray, table: np.ndarray, exact: np.nd
     pair = np.where(codes >= 0, counts_from(model, codes.view(np.uint64), True), 0)[at]
     held, more = pair > 0, np.zeros(len(tokens))
     first, second = (exact[numbers(table, x[held])] for x in (before(tokens), tokens))  # tokens of held pairs are frequent
-    more[held] = np.log10(1 + np.minimum(pair[held], first) * model.total / (model.strength * (second + 0.5)))
+    after = strength_after(first, model.strength, model.free)
+    more[held] = np.log10(1 + np.minimum(pair[held], first) * model.total / (after * (second + 0.5)))
     return held, more
 
 
@@ -187,7 +197,8 @@ def score_task(model_shared, exact_shared):
     """Per text: tokens, the exact part of its frequent tokens, and the filter's part of the model's score."""
     def run(batches):
         model, (table, exact) = model_shared.value, exact_shared.value
-        value, follows = np.log10(exact + 0.5), np.log10(model.strength / (exact + model.strength))
+        after = strength_after(exact, model.strength, model.free)
+        value, follows = np.log10(exact + 0.5), np.log10(after / (exact + after))
         for part in textops.slices(batches, "text"):
             tokens, counts = tokens_of(part.column("text"))
             begins = np.cumsum(counts) - counts
@@ -261,20 +272,21 @@ def score_texts(docs: DataFrame, learn: Column, frequent: float = FREQUENT, pair
     pair_table = tokens[exact >= pair_token * total]
     pair_tokens = spark.sparkContext.broadcast(pair_table)
     least = (1.0, max(1.0, held_pair * total))
-    pairs = written(train.mapInArrow(pair_task(pair_tokens), "token long, last long, code long, n long").groupBy("token", "last", "code").agg(F.sum("n").alias("n")), "pairs")
+    pairs = written(train.mapInArrow(pair_task(pair_tokens, exact_shared, strength, frequent * total), "token long, last long, code long, s double, n long")
+                    .groupBy("token", "last", "code").agg(F.first("s").alias("s"), F.sum("n").alias("n")), "pairs")
     common = pairs.filter((F.col("code") >= 0) & (F.col("n") >= least[1]))
     grams = common.select(F.col("code").alias("token"), "n", F.lit(True).alias("pair"))
     level = 1 + F.floor(F.log2(F.col("n") / F.lit(least[1])) + 1e-9)
     entries = grams.agg(F.coalesce(F.sum(level), F.lit(0))).first()[0]
     smooth = float(total + 0.5 * (distinct + 1))
-    model_shared = spark.sparkContext.broadcast(Model(build_filter(grams, entries, least), least, smooth, strength, pair_table))
+    model_shared = spark.sparkContext.broadcast(Model(build_filter(grams, entries, least), least, smooth, strength, pair_table, frequent * total))
     keyed = texts.select(F.xxhash64("text").alias("key"), "doc_id", "text")
     scored = written(keyed.mapInArrow(score_task(model_shared, exact_shared),
                                       f"key long, doc_id {kind}, n_tokens long, n_frequent long, frequent_sum double, held_sum double"), "scored")
     rare = keyed.mapInArrow(rare_task(model_shared, exact_shared), f"key long, doc_id {kind}, token long, times int, asks int")
     # every pair's part, with the exact count of its second token
     last = counts.select(F.col("token").alias("last"), "c")
-    apart = pairs.join(last, "last").select("token", F.lit(None).cast("long").alias("c"), F.log10(1 + F.col("n") * smooth / (strength * (F.col("c") + 0.5))).alias("more"))
+    apart = pairs.join(last, "last").select("token", F.lit(None).cast("long").alias("c"), F.log10(1 + F.col("n") * smooth / (F.col("s") * (F.col("c") + 0.5))).alias("more"))
     known = counts.select("token", "c", F.log10(strength / (F.col("c") + strength)).alias("more")).union(apart)
 
     base = F.col("asks") == TOKEN
