@@ -121,3 +121,13 @@ def test_buckets_are_averaged(spark, monkeypatch):
     rows = [(i, f'{words(r, 40)} token = "{"".join(r.choice(list(string.ascii_letters + string.digits), 30))}" {words(r, 40)}') for i in range(300)]
     got = secrets.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert got.report["recall"] >= 0.95 and got.report["precision"] >= 0.8, got.report
+
+
+def test_a_key_beside_a_candidate_is_blanked_out():
+    text = 'x token = "1eb9c654e721b4f812088970"### that.92@mail2.example.com end'
+    places = secrets.covered(secrets.base_findings(text))
+    (start, end), = secrets.candidates(text, places)
+    rest = secrets.blanked(text, places)
+    assert len(rest) == len(text) and rest[places[1][0]:] == text[places[1][0]:] and "1eb9" not in rest
+    read = "".join(chr(c + 31) if 0 < c < 96 else "~" for c in secrets.windows(rest, start, end)[0])
+    assert "8970" not in read and "that.92@mail2.example.com end" in read
